@@ -86,3 +86,22 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Caps the rows of an Arrow batch, so that a Python worker holds few whole texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
+def slices(sizes: list[int], most: int):
+    """(start, stop) of consecutive runs of rows whose sizes sum to at most most, one row at least."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
