@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan, license_scan_sql
+from .ngram_join import ngram_jaccard_groups
 from .packing import pack
 
 
@@ -29,6 +30,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_groups(documents(spark, sf_dir), n=3, num=90, den=100)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
