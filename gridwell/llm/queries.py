@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan, license_scan_sql
 from .ngram_join import ngram_jaccard_groups
 from .packing import pack
+from .suffix_dedup import suffix_repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats(documents(spark, sf_dir), length=400).drop("starts", "ends")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(documents(spark, sf_dir), n=3, num=90, den=100)
 
