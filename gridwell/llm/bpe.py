@@ -78,12 +78,17 @@ class ByteCodec:
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        out = []
-        for word, coded in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+        """Words by themselves, some thousands a call, as the library's results are large."""
+        out, exact = [], self.exact.encode_ordinary
+        for k in range(0, len(words), 4000):
+            chunk = words[k : k + 4000]
+            coded = self.tokenizer.encode(chunk, is_pretokenized=True, add_special_tokens=False)
             ids = coded.ids
-            if ids != (true := self.exact.encode_ordinary(word)):
-                ids = true
-            out.append(np.array(ids, "<u4").tobytes())
+            data = np.array(ids, "<u4").tobytes()
+            cuts = np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(chunk) + 1)).tolist()
+            for word, a, b in zip(chunk, cuts, cuts[1:]):
+                true = exact(word)
+                out.append(data[4 * a : 4 * b] if true == ids[a:b] else np.array(true, "<u4").tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -23,10 +23,12 @@ empty table gives no pieces. Columns other than id, text and source are not read
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +36,71 @@ from .bpe import _texts
 from .common import maybe_broadcast, staged, text_batches
 
 WINDOW = 4096
-REGION_WINDOWS = 256
+REGION_WINDOWS = 128
 LEAST_PIECE = 256
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: White space to str.split() but not to the tokenizer; such texts are encoded whole.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Words of these characters alone are lower-cased and split by _PRETOKEN just as the tokenizer does it.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
+
+
 class FileTokenizer:
-    """A tokenizers file whose tokens never hold white space: words between white space are encoded once and remembered."""
+    """A tokenizers file whose tokens never hold white space. Words are encoded once and remembered, and so are the parts that the
+    file's own pattern splits new words into; each memory is emptied when it is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.plain = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in self.tokenizer.to_str() and "Lowercase" in self.tokenizer.to_str()
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Words by themselves, some thousands a call, as the library's results are large."""
+        out, width = [], self.dtype.itemsize
+        for k in range(0, len(words), 4000):
+            chunk = words[k : k + 4000]
+            coded = self.tokenizer.encode(chunk, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(coded.ids, self.dtype).tobytes()
+            cuts = (np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(chunk) + 1)) * width).tolist()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _learn(self, wanted: list[str]) -> None:
+        split, odd, new = [], [], set()
+        for word in wanted:
+            if self.plain and _PLAIN(word) and "<|" not in word:
+                parts = _PRETOKEN(word.lower())
+                split.append((word, parts))
+                new.update(parts)
+            else:
+                odd.append(word)
+        self.words.update(zip(odd, map(self._whole, odd), strict=True))
+        if len(self.parts) + len(new) > MEMO_WORDS:
+            self.parts.clear()
+        new = list(new.difference(self.parts))
+        self.parts.update(zip(new, self._encode(new), strict=True))
+        parts_ = self.parts
+        self.words.update((word, b"".join([parts_[p] for p in parts])) for word, parts in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
+        words_ = self.words
         split = [None if any(c in text for c in _ODD_SPACE) else text.split() for text in texts]
-        wanted = set().union(*(w for w in split if w)).difference(memo)
-        if len(memo) + len(wanted) > MEMO_WORDS:
-            memo.clear()
+        wanted = set().union(*(w for w in split if w)).difference(words_)
+        if len(words_) + len(wanted) > MEMO_WORDS:
+            words_.clear()
             wanted = set().union(*(w for w in split if w))
-        wanted = list(wanted)
-        memo.update(zip(wanted, self._encode(wanted), strict=True))
-        return [self._encode([text])[0] if words is None else b"".join([memo[w] for w in words]) for text, words in zip(texts, split, strict=True)]
+        self._learn(list(wanted))
+        return [self._whole(text) if words is None else b"".join([words_[w] for w in words]) for text, words in zip(texts, split, strict=True)]
 
 
 @functools.cache
@@ -160,7 +197,8 @@ def pack(docs: DataFrame, *, path: str, end_id: int, window: int = WINDOW, regio
     stride = region_windows * 2 + 64
 
     def run(table: pa.Table) -> pa.Table:
-        order = table.select(["source", "p", "part", "row"]).to_pandas().sort_values(["source", "p", "part", "row"], na_position="first", kind="stable").index.to_numpy()
+        file_tokenizer.cache_clear()  # the words that this worker has remembered are of no more use
+        order = pc.sort_indices(table, [(c, "ascending") for c in ("source", "p", "part", "row")]).to_numpy()
         source, line, carry = (table.column(c).to_pylist() for c in ("source", "line", "carry"))
         start, length, tokens_, width = (table.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "width"))
         ids, region = table.column("ids").to_pylist(), table.column("region")[0].as_py()
