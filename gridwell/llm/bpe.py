@@ -3,7 +3,7 @@
 A rank file (token bytes and rank a line) becomes a tokenizers BPE model: each byte is mapped to a printable character,
 and each pair of tokens whose bytes join to a third one is a merge at the third one's rank. Words are encoded once a
 worker and remembered, as a text splits safely before each space that follows a character other than white space (no match
-of the pattern runs over such a place). Memory is bounded: the memory of words is emptied at MEMO_WORDS entries.
+of the pattern runs over such a place). The memory of words is bounded (common.Memory).
 
 Decoding looks ids up in the table of token bytes and joins the bytes; tokens that split a character need nothing
 further, as characters are only formed from the joined bytes. offsets() gives each token's place in characters.
@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_batches
+from .common import Memory, slices, text_batches
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: Characters of text that are handled at a time.
 SLICE_CHARS = 1 << 20
 _SAFE = re.compile(r"(?<!\s) ")
@@ -75,7 +75,7 @@ class ByteCodec:
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memory(MEMO_WORDS)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Words by themselves, some thousands a call, as the library's results are large."""
@@ -101,10 +101,9 @@ class ByteCodec:
             split[i] = words
         heads = self._encode([words[0] for words in split])
         wanted = set().union(*(words[1:] for words in split)).difference(memo)
-        if len(memo) + len(wanted) > MEMO_WORDS:
-            memo.clear()
+        if memo.full(len(wanted)):
             wanted = set().union(*(words[1:] for words in split))
-        wanted = list(wanted)
+        wanted = memo.recall(wanted)
         memo.update(zip(wanted, self._encode([" " + w for w in wanted]), strict=True))
         return [head + b"".join([memo[w] for w in words[1:]]) for head, words in zip(heads, split, strict=True)]
 

@@ -105,3 +105,26 @@ def slices(sizes: list[int], most: int):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+class Memory(dict):
+    """Words and their ids in two generations of at most size entries: when the young one is full it becomes the old one, so that
+    what is still in use is carried over (recall) and the rest is forgotten."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def recall(self, wanted: set) -> list:
+        """Of wanted, which are not in the young generation, takes over those in the old one and returns the others."""
+        found = wanted & self.old.keys()
+        self.update((w, self.old[w]) for w in found)
+        return list(wanted - found)
+
+    def full(self, more: int) -> bool:
+        """Whether the young generation had to be emptied for more entries; what is wanted must then be gathered anew."""
+        if len(self) + more <= self.size:
+            return False
+        self.old = dict(self)
+        self.clear()
+        return True

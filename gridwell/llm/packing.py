@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import maybe_broadcast, staged, text_batches
+from .common import Memory, maybe_broadcast, staged, text_batches
 
 WINDOW = 4096
 REGION_WINDOWS = 128
@@ -50,7 +50,7 @@ _PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[
 
 class FileTokenizer:
     """A tokenizers file whose tokens never hold white space. Words are encoded once and remembered, and so are the parts that the
-    file's own pattern splits new words into; each memory is emptied when it is full."""
+    file's own pattern splits new words into; each memory is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,8 +58,7 @@ class FileTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.plain = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in self.tokenizer.to_str() and "Lowercase" in self.tokenizer.to_str()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memory(MEMO_WORDS), Memory(MEMO_WORDS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -75,6 +74,16 @@ class FileTokenizer:
             out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
+    def _fold(self, text: str) -> str:
+        """Lower case where that is surely what the tokenizer makes of it: it saves remembering both."""
+        if not self.plain or "<|" in text:
+            return text
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def _learn(self, wanted: list[str]) -> None:
         split, odd, new = [], [], set()
         for word in wanted:
@@ -85,21 +94,19 @@ class FileTokenizer:
             else:
                 odd.append(word)
         self.words.update(zip(odd, map(self._whole, odd), strict=True))
-        if len(self.parts) + len(new) > MEMO_WORDS:
-            self.parts.clear()
-        new = list(new.difference(self.parts))
+        self.parts.full(len(new))
+        new = self.parts.recall(new.difference(self.parts))
         self.parts.update(zip(new, self._encode(new), strict=True))
         parts_ = self.parts
         self.words.update((word, b"".join([parts_[p] for p in parts])) for word, parts in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words_ = self.words
-        split = [None if any(c in text for c in _ODD_SPACE) else text.split() for text in texts]
+        split = [None if any(c in text for c in _ODD_SPACE) else self._fold(text).split() for text in texts]
         wanted = set().union(*(w for w in split if w)).difference(words_)
-        if len(words_) + len(wanted) > MEMO_WORDS:
-            words_.clear()
+        if words_.full(len(wanted)):
             wanted = set().union(*(w for w in split if w))
-        self._learn(list(wanted))
+        self._learn(words_.recall(wanted))
         return [self._whole(text) if words is None else b"".join([words_[w] for w in words]) for text, words in zip(texts, split, strict=True)]
 
 
