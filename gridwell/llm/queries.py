@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
+from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan, license_scan_sql
 from .ngram_join import ngram_jaccard_groups
@@ -35,6 +36,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(documents(spark, sf_dir), length=400).drop("starts", "ends")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(documents(spark, sf_dir), n=3, num=90, den=100)
 
