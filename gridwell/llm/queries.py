@@ -11,6 +11,7 @@ from . import bpe
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan, license_scan_sql
+from .lm_score import lm_scores
 from .ngram_join import ngram_jaccard_groups
 from .packing import pack
 from .suffix_dedup import suffix_repeats
@@ -32,6 +33,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(documents(spark, sf_dir), length=400).drop("starts", "ends")
 
