@@ -1,14 +1,68 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage but the last returns the columns of documents; the last one returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridwell.llm.common import maybe_broadcast, staged
+from gridwell.llm.exact_dedup import exact_dedup
+from gridwell.llm.language_id import language_id
+from gridwell.llm.ngram_join import ngram_jaccard_groups
+from gridwell.llm.packing import pack
+from gridwell.llm.suffix_dedup import suffix_clean
+
+#: Shortest repeat that goes, in bytes: passages of over 50 words are longer.
+REPEAT_BYTES = 200
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs less the rows whose doc_id is in gone. Rows with a null id stay."""
+    return docs.join(maybe_broadcast(staged(gone.where("doc_id is not null").select("doc_id").distinct(), name), 16 << 20), "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the language found is written to lang."""
+    found = staged(language_id(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("language").alias("language"), F.min("rejected").alias("rejected")), "languages")
+    kept = without(docs, found.where("rejected"), "rejected")
+    changed = found.where("not rejected").join(docs.select("doc_id", "lang"), "doc_id").where(~F.col("language").eqNullSafe(F.col("lang"))).select("doc_id", "language").distinct()
+    fixed = kept.join(maybe_broadcast(staged(changed, "relabelled"), 16 << 20), "doc_id", "left").withColumn("lang", F.coalesce("language", "lang"))
+    return fixed.select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return without(docs, exact_dedup(docs).where("not kept"), "exact-copies")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8: the smallest id of each group stays."""
+    return without(docs, ngram_jaccard_groups(docs, n=5, num=80, den=100).where("doc_id <> component_id"), "near-copies")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that also stand elsewhere go from the texts; n_chars follows."""
+    cut = suffix_clean(docs, length=REPEAT_BYTES)
+    return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, path=public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("ids", "width")
 
-from gridwell.llm.common import staged
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
 
-#: No stage list of SQL can express language models, similarity joins and tokenizers.
+#: SQL can express neither language models nor similarity joins nor tokenizers; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
+from .language_id import language_id, page_evidence
 from .license_scan import license_scan, license_scan_sql
 from .lm_score import lm_scores
 from .ngram_join import ngram_jaccard_groups
 from .packing import pack
+from .quality import quality_scores
 from .suffix_dedup import suffix_repeats
 
 
@@ -49,12 +51,25 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(documents(spark, sf_dir), n=3, num=90, den=100)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return language_id(pages, id_col="page_id", declared_col="declared", host_col="host", suffix_col="suffix")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() or k == "language_of_pages"}
 
 
 def oracle_sql() -> dict[str, str]:
