@@ -128,3 +128,24 @@ class Memory(dict):
         self.old = dict(self)
         self.clear()
         return True
+
+
+#: 64-bit words of a bit filter, whatever the input: 2 MB. More keys only make it less selective.
+FILTER_WORDS = 1 << 18
+
+
+def _slot(h: Column) -> tuple[Column, Column]:
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+
+
+def bit_filter(keys: DataFrame, h: str) -> DataFrame:
+    """(_word, _bits): a filter of fixed size over a column of 64-bit hashes."""
+    word, bit = _slot(F.col(h))
+    return staged(keys.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bit-filter")
+
+
+def split_by_filter(df: DataFrame, h: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be among the filter's keys, rows whose hash is not). The filter is broadcast; its size is fixed."""
+    word, bit = _slot(F.col(h))
+    probed = df.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+    return probed.where("_maybe").drop("_maybe"), probed.where("not _maybe").drop("_maybe")

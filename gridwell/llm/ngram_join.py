@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_broadcast, slices, staged, text_batches
+from .common import bit_filter, connected_components, maybe_broadcast, slices, split_by_filter, staged, text_batches
 
 SLICE_BYTES = 1 << 21
 BLOCK = 1500
@@ -299,7 +299,10 @@ def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int
     placed = staged(placed.where("members > 1").select("node", "h1", "h2", "rep", "n", "cluster", "blocks", "mine"), "ngram-placed")
     total = placed.agg(F.sum(F.col("n") * 8 * F.col("blocks"))).first()[0] or 0
     tasks = max(1, -(-total // UNIT_BYTES))
-    texts = docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").join(maybe_broadcast(placed, 16 << 20), F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "h1", "h2", "cluster", "blocks", "mine")
+    # a filter of fixed size keeps the texts of other documents out of the join's shuffle
+    keyed_ = placed.withColumn("k", F.xxhash64("rep"))
+    likely, _ = split_by_filter(docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").withColumn("k", F.xxhash64("id")), "k", bit_filter(keyed_, "k"))
+    texts = likely.drop("k").join(placed.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "h1", "h2", "cluster", "blocks", "mine")
 
     def sets(batches):
         for batch in batches:

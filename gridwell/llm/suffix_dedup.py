@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, staged, text_batches
+from .common import bit_filter, split_by_filter, staged, text_batches
 from .ngram_join import mix, text_slices
 
 _U = np.uint64
@@ -224,7 +224,9 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int = H
     wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("gram", "region", "lo", "hi", "anchor", (F.col("distinct") > hot).alias("hot"))).alias("wanted"))
     wanted = staged(table.select("row", "id", "x").join(wanted, "row").groupBy("id", "x").agg(F.flatten(F.collect_list("wanted")).alias("wanted")), "suffix-wanted")
     keyed = _keyed(docs, id_col, text_col)
-    found = keyed.join(maybe_broadcast(wanted.select(F.col("id").alias("wid"), F.col("x").alias("wx"), "wanted"), 16 << 20), F.col("id").eqNullSafe(F.col("wid")) & (F.col("x") == F.col("wx"))).select("text", "wanted")
+    # texts without wanted regions stay where they are: a filter of fixed size keeps most of them out of the join's shuffle
+    likely, _ = split_by_filter(keyed, "x", bit_filter(wanted, "x"))
+    found = likely.join(wanted.select(F.col("id").alias("wid"), F.col("x").alias("wx"), "wanted").hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("x") == F.col("wx"))).select("text", "wanted")
 
     def cut_out(batches):
         for batch in batches:
@@ -284,17 +286,18 @@ def merged(spans_: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _runs(np.cumsum(step[:n]) > 0)
 
 
-def _span_side(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int) -> DataFrame:
-    found = spans(docs, length, id_col, text_col, hot)
-    side = maybe_broadcast(found.select(F.col("id").alias("sid"), F.col("x").alias("sx"), "s"), 16 << 20)
-    text_batches(docs.sparkSession)
-    return side
+def _with_spans(docs: DataFrame, key: str, id_: str, found: DataFrame) -> DataFrame:
+    """docs (with the text's hash as key) and s: only rows whose text may have spans go through the join."""
+    likely, rest = split_by_filter(docs, key, bit_filter(found, "x"))
+    side = found.select(F.col("id").alias("sid"), F.col("x").alias("sx"), "s").hint("merge")
+    joined = likely.join(side, F.col(id_).eqNullSafe(F.col("sid")) & (F.col(key) == F.col("sx")), "left").drop("sid", "sx")
+    return joined.unionByName(rest.withColumn("s", F.lit(None).cast(found.schema["s"].dataType)))
 
 
 def suffix_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (of the removed runs, in bytes)."""
-    side = _span_side(docs, length, id_col, text_col, hot)
-    joined = _keyed(docs, id_col, text_col).join(side, F.col("id").eqNullSafe(F.col("sid")) & (F.col("x") == F.col("sx")), "left").select("id", "text", "s")
+    found = spans(docs, length, id_col, text_col, hot)
+    joined = _with_spans(_keyed(docs, id_col, text_col), "x", "id", found).select("id", "text", "s")
 
     def run(batches):
         for batch in batches:
@@ -313,11 +316,12 @@ def suffix_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
 
 def suffix_clean(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs, all columns, with the repeats cut from the text. Cuts shrink to whole characters; rows without repeats stay as they are."""
-    side = _span_side(docs, length, id_col, text_col, hot)
+    found = spans(docs, length, id_col, text_col, hot)
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    id_, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
-    joined = inner.join(side, id_.eqNullSafe(F.col("sid")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("sx")), "left").drop("sid", "sx")
+    text = F.col(f"c{names.index(text_col)}")
+    keyed = inner.withColumn("x", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    joined = _with_spans(keyed, "x", f"c{names.index(id_col)}", found).select(*inner.columns, "s")
     k = names.index(text_col)
 
     def run(batches):
