@@ -23,6 +23,7 @@ empty table gives no pieces. Columns other than id, text and source are not read
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 
@@ -38,7 +39,8 @@ from .common import Memory, maybe_broadcast, staged, text_batches
 WINDOW = 4096
 REGION_WINDOWS = 128
 LEAST_PIECE = 256
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
+MEMO_PARTS = 400_000
 #: White space to str.split() but not to the tokenizer; such texts are encoded whole.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -57,18 +59,26 @@ class FileTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.plain = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in self.tokenizer.to_str() and "Lowercase" in self.tokenizer.to_str()
-        self.words, self.parts = Memory(MEMO_WORDS), Memory(MEMO_WORDS)
+        text = self.tokenizer.to_str()
+        self.plain = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in text and "Lowercase" in text
+        # the same model for parts that are in lower case and split already: without normaliser and pattern
+        self.bare = self.tokenizer
+        if self.plain:
+            form = json.loads(text)
+            form["normalizer"] = None
+            form["pre_tokenizer"]["pretokenizers"] = [x for x in form["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
+            self.bare = Tokenizer.from_str(json.dumps(form))
+        self.words, self.parts = Memory(MEMO_WORDS), Memory(MEMO_PARTS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Words by themselves, some thousands a call, as the library's results are large."""
+        """Parts by themselves, some thousands a call, as the library's results are large."""
         out, width = [], self.dtype.itemsize
         for k in range(0, len(words), 4000):
             chunk = words[k : k + 4000]
-            coded = self.tokenizer.encode(chunk, is_pretokenized=True, add_special_tokens=False)
+            coded = self.bare.encode(chunk, is_pretokenized=True, add_special_tokens=False)
             data = np.array(coded.ids, self.dtype).tobytes()
             cuts = (np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(chunk) + 1)) * width).tolist()
             out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -85,7 +95,11 @@ class FileTokenizer:
         return text.lower()
 
     def _learn(self, wanted: list[str]) -> None:
-        split, odd, new = [], [], set()
+        split, odd, simple = [], [], []
+        if self.plain:  # ASCII letters alone are one part
+            simple = [w for w in wanted if w.isalpha() and w.isascii() and w.islower()]
+            wanted = [w for w in wanted if not (w.isalpha() and w.isascii() and w.islower())]
+        new = set(simple)
         for word in wanted:
             if self.plain and _PLAIN(word) and "<|" not in word:
                 parts = _PRETOKEN(word.lower())
@@ -98,6 +112,7 @@ class FileTokenizer:
         new = self.parts.recall(new.difference(self.parts))
         self.parts.update(zip(new, self._encode(new), strict=True))
         parts_ = self.parts
+        self.words.update((word, parts_[word]) for word in simple)
         self.words.update((word, b"".join([parts_[p] for p in parts])) for word, parts in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
