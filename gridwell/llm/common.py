@@ -21,10 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of staged tables, in the order of writing.
+_written: list[str] = []
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the staged tables written since a mark (len(_written)), but for the last keep ones. Only for tables that nothing reads any more:
+    what came of them has been written itself."""
+    mark = len(_written) - keep
+    for path in _written[since:mark]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[since:mark]
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage, survives lost executors, and later plans know its size."""
     path = f"{shared_folder(df.sparkSession)}/gridwell/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,7 +92,9 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
 
     mark = None
     for _ in range(rounds):
+        since = len(_written) - 1  # the round before is of no more use once this one is written
         pairs = staged(star(star(pairs, True), False), "cc")
+        release(spark, since)
         # a star forest: no node is both a leaf and a centre, and no leaf has two centres
         now = pairs.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("s"), F.count_distinct("u").alias("k")).first()
         if (now.n, now.s) == mark and now.n == now.k:

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import bit_filter, connected_components, maybe_broadcast, slices, split_by_filter, staged, text_batches
 
 SLICE_BYTES = 1 << 21
@@ -286,6 +287,7 @@ def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int
     """One row a document: id, n_shingles, component_id, class_id (smallest id with an equal set)."""
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)[id_col]
+    since = len(common._written)
     sig = staged(signatures(docs, n, num, den, id_col, text_col), "ngram-signatures")
     keyed = sig.select("h1", F.explode("keys").alias("key"))
     key = Window.partitionBy("key")
@@ -340,7 +342,11 @@ def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int
     joined = placed.select("node", "h1", "h2", "rep").join(parts, "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = staged(joined.join(least, "component").select("h1", "h2", "component_id"), "ngram-components")
-    out = sig.select("id", "n", "h1", "h2").join(classes.select("h1", "h2", F.col("rep").alias("class_id")), ["h1", "h2"], "left").join(maybe_broadcast(named, 16 << 20), ["h1", "h2"], "left")
+    # keys and candidates are of no more use: the result reads the sets' hashes and the components
+    sig = staged(sig.select("id", "n", "h1", "h2"), "ngram-sets")
+    classes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    common.release(spark, since, keep=2)
+    out = sig.join(classes.select("h1", "h2", F.col("rep").alias("class_id")), ["h1", "h2"], "left").join(maybe_broadcast(named, 16 << 20), ["h1", "h2"], "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "class_id")).cast(id_type).alias("component_id"),

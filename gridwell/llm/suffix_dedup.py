@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import bit_filter, split_by_filter, staged, text_batches
 from .ngram_join import mix, text_slices
 
@@ -214,6 +215,7 @@ def anchor_table(docs: DataFrame, length: int, id_col: str, text_col: str) -> Da
 
 def spans(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
     """(id, x, spans): of rows with repeats, [from, to) in bytes, not merged. x is a hash of the text."""
+    since = len(common._written)
     table = staged(anchor_table(docs, length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "suffix-anchors", compression="zstd")
     flat = table.select("row", F.explode(F.arrays_zip("lo", "hi", "anchor", "gram", "region")).alias("a")).select("row", "a.*")
     regions = flat.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "anchor")).alias("rep"))
@@ -275,7 +277,9 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int = H
     hits = staged(whole.unionAll(partly).groupBy("gram", "region").agg(F.collect_list(F.struct("a", "b")).alias("hits")), "suffix-hits")
     covered = flat.join(hits, ["gram", "region"]).select("row", F.transform("hits", lambda h: F.struct((F.col("lo") + h.a).alias("a"), (F.col("lo") + h.b - 1 + length).alias("b"))).alias("s"))
     by_row = covered.groupBy("row").agg(F.flatten(F.collect_list("s")).alias("s"))
-    return staged(table.select("row", "id", "x").join(by_row, "row").groupBy("id", "x").agg(F.first("s").alias("s")), "suffix-spans")
+    out = staged(table.select("row", "id", "x").join(by_row, "row").groupBy("id", "x").agg(F.first("s").alias("s")), "suffix-spans")
+    common.release(docs.sparkSession, since)
+    return out
 
 
 def merged(spans_: list, n: int) -> tuple[np.ndarray, np.ndarray]:
