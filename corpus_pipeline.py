@@ -20,28 +20,42 @@ from gridwell.llm.suffix_dedup import suffix_clean
 REPEAT_BYTES = 200
 
 
+#: The key that a stage gives each row of its input: ids may be null, repeated or shared by different texts.
+KEY = "_row_key"
+
+
+def with_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key of its own for each row, written so that every later read sees the same keys."""
+    return staged(docs.withColumn(KEY, F.monotonically_increasing_id()), name, compression="zstd")
+
+
 def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs less the rows whose doc_id is in gone. Rows with a null id stay."""
-    return docs.join(maybe_broadcast(staged(gone.where("doc_id is not null").select("doc_id").distinct(), name), 16 << 20), "doc_id", "left_anti").select(*docs.columns)
+    """docs less the rows whose key is in gone."""
+    return docs.join(maybe_broadcast(staged(gone.select(KEY), name), 16 << 20), KEY, "left_anti").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the language found is written to lang."""
-    found = staged(language_id(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("language").alias("language"), F.min("rejected").alias("rejected")), "languages")
-    kept = without(docs, found.where("rejected"), "rejected")
-    changed = found.where("not rejected").join(docs.select("doc_id", "lang"), "doc_id").where(~F.col("language").eqNullSafe(F.col("lang"))).select("doc_id", "language").distinct()
-    fixed = kept.join(maybe_broadcast(staged(changed, "relabelled"), 16 << 20), "doc_id", "left").withColumn("lang", F.coalesce("language", "lang"))
+    rows = with_key(docs, "language-rows")
+    found = staged(language_id(rows, id_col=KEY).select(KEY, "language", "rejected"), "languages")
+    kept = without(rows, found.where("rejected"), "rejected")
+    changed = found.where("not rejected").join(rows.select(KEY, "lang"), KEY).where(~F.col("language").eqNullSafe(F.col("lang"))).select(KEY, "language")
+    fixed = kept.join(maybe_broadcast(staged(changed, "relabelled"), 16 << 20), KEY, "left").withColumn("lang", F.coalesce("language", "lang"))
     return fixed.select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
-    return without(docs, exact_dedup(docs).where("not kept"), "exact-copies")
+    """Of equal texts the row with the largest id stays; of rows that share it, one. Null ids lose."""
+    rows = with_key(docs, "exact-rows")
+    marked = exact_dedup(rows.select(F.struct("doc_id", KEY).alias("id"), "text"), id_col="id")
+    return without(rows, marked.where("not kept").select(f"id.{KEY}"), "exact-copies").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: the smallest id of each group stays."""
-    return without(docs, ngram_jaccard_groups(docs, n=5, num=80, den=100).where("doc_id <> component_id"), "near-copies")
+    """Five-word shingles, similarity 0.8: the row with the smallest id of each group stays; of rows that share it, one. Null ids lose."""
+    rows = with_key(docs, "near-rows")
+    groups = ngram_jaccard_groups(rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY).alias("id"), "text"), n=5, num=80, den=100, id_col="id")
+    return without(rows, groups.where("id <> component_id").select(f"id.{KEY}"), "near-copies").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,36 @@ def test_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces} <= set(sets) and len(pieces) > 0
 
 
+def test_rows_without_ids_of_their_own(spark, tmp_path):
+    """Repeated rows, ids shared by different texts, and null ids."""
+    base = language_rows(12)
+    x, y, z, w = (base[k][1] + " " + base[k + 3][1] for k in (0, 1, 2, 4))
+    near = z + " mehr"
+    row = lambda i, text, lang="en": (i, text, lang, "host0", len(text or ""), *"cccccc")
+    rows = [row(1, w), row(1, w), row(5, x), row(5, y), row(9, x), row(None, x), row(None, z), row(None, z), row(20, near), row(21, near), row(20, w + " " + y), row(None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    step = dict(corpus_pipeline.STAGES)
+    run = lambda name, data: sorted(((r.doc_id, r.text) for r in step[name](spark, data, "").collect()), key=repr)
+    full = docs.where("text is not null")
+
+    want = [(1, w), (5, y), (9, x), (None, z), (21, near), (20, w + " " + y)]
+    assert run("exact_dedup", full) == sorted(want, key=repr)
+
+    want = [(1, w), (5, x), (5, y), (20, near), (20, w + " " + y)]
+    assert run("ngram_jaccard", full) == sorted(want, key=repr)
+
+    # rows of one id get each its own language, and a null id does not save a text without letters
+    known = spark.createDataFrame([*language_rows(60), (0, language_rows(60)[1][1], None, None, 0, *"cccccc"), (None, "12 !!", "en", None, 0, *"cccccc")], SCHEMA)
+    out = step["language_id"](spark, known, "").collect()
+    assert len(out) == 61 and all(r.doc_id is not None for r in out)
+    assert {r.text: r.lang for r in out if r.doc_id == 0} == {language_rows(60)[k][1]: language_rows(60)[k][2] for k in (0, 1)}
+
+    # a corpus that is loaded twice loses nothing
+    once = spark.createDataFrame(language_rows(30), SCHEMA)
+    assert run("exact_dedup", once.unionAll(once)) == run("exact_dedup", once)
+    assert run("ngram_jaccard", once.unionAll(once)) == run("ngram_jaccard", once)
+
+
 def test_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", k).group(1)) for k in queries() if k.startswith("op"))
     assert numbers == list(range(1, 11))
