@@ -379,6 +379,40 @@ def test_language_id(spark, empty):
     assert language_id(empty).collect() == []
 
 
+def test_language_id_of_many_languages(spark):
+    """More than 64 declared languages, the rarest with three rows; blocks of languages change nothing."""
+    rnd = random.Random(12)
+    rows = []
+    for k in range(80):
+        own = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)]
+        for _ in range(3 if k % 4 == 0 else 6):
+            text = " ".join("".join(rnd.choice(own) for _ in range(rnd.randint(1, 3))) for _ in range(40))
+            rows.append((len(rows), text, f"l{k:02}", f"host{k % 3}", len(text), *"cccccc"))
+    declared = {r[0]: r[2] for r in rows}
+    # not declared, declared wrongly, and without letters
+    rows += [(900, rows[0][1], None, None, 0, *"cccccc"), (901, rows[3][1], "l40", "host1", 0, *"cccccc"), (902, "12 !", "l40", "host1", 0, *"cccccc"), (None, None, "", None, 0, *"cccccc")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {g.doc_id: g for g in language_id(docs).collect()}
+    assert len(got) == len(rows)
+    assert {i: got[i].language for i in declared} == declared and not any(got[i].rejected for i in declared)
+    assert (got[900].language, got[901].text_language, got[902].rejected, got[None].rejected) == ("l00", "l01", True, True)
+    for size in (7, 33):
+        other = {g.doc_id: g for g in language_id(docs, block=size).collect()}
+        assert len(other) == len(rows)
+        for i, g in got.items():
+            o = other[i]
+            assert (o.language, o.text_language, o.n_trigrams, o.rejected) == (g.language, g.text_language, g.n_trigrams, g.rejected) and abs(o.confidence - g.confidence) < 1e-9
+
+
+def test_language_sample_of_rare_languages(spark):
+    """A rare language is fitted however few rows the sample has."""
+    data = language_rows()
+    rare = [(1000 + i, " ".join(["zzyx", "qoqx", "wvuz"][(i + j) % 3] for j in range(30)), "rare", "host0", 0, *"cccccc") for i in range(4)]
+    got = {g.doc_id: g for g in language_id(spark.createDataFrame(data + rare, SCHEMA), sample_rows=20, least_rows=1).collect()}
+    assert {got[r[0]].text_language for r in rare} == {"rare"}
+    assert sum(got[r[0]].language == r[2] for r in data) >= len(data) - 1
+
+
 def test_page_evidence(spark):
     html = '<!DOCTYPE html><html class=a lang="de-AT"><head><style>p{}</style><script>var t="</p>";</script></head><body>Guten Tag</body></html>'
     got = page_evidence(spark.createDataFrame([("https://www.Foo.example.at:80/x", html), (None, None)], "url string, html string")).collect()
