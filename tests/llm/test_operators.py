@@ -21,6 +21,7 @@ from gridwell.llm.lm_score import C, Model, lm_scores
 from gridwell.llm.ngram_join import _merge, ngram_jaccard_groups, segment_keys, similar_links
 from gridwell.llm.packing import FileTokenizer, fill, pack
 from gridwell.llm.quality import quality_scores
+from gridwell.llm.queries import language_of_pages
 from gridwell.llm.suffix_dedup import repeats, suffix_clean, suffix_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, digest string, x string, s string, key string"
@@ -420,6 +421,69 @@ def test_page_evidence(spark):
     assert got[1].host is None and got[1].declared is None
 
 
+def brute_languages(pages, weight=20.0, least=0.5):
+    """page_id: (language, confidence, text language, trigrams, rejected) of (page_id, text, declared, host, suffix), fitted on all."""
+    langs = sorted({p[2] for p in pages if p[2]})
+    k = len(langs)
+
+    def grams(text):
+        b = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in f" {text} ".lower().encode())
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(b) - 2) if b[i + 1] != 32]
+
+    seen = {x: Counter() for x in langs}
+    for p in pages:
+        if p[2]:
+            seen[p[2]].update(grams(p[1]))
+    likely, best = {}, {}
+    for p in pages:
+        g = grams(p[1])
+        likely[p[0]] = [sum(math.log((seen[x][b] + 0.5) / (sum(seen[x].values()) + 8192)) for b in g) * min(len(g), 40) / max(len(g), 1) for x in langs]
+        best[p[0]] = max(range(k), key=lambda i: likely[p[0]][i])
+    full = [p for p in pages if grams(p[1])]
+
+    def lift(test, parent):
+        n = Counter(best[p[0]] for p in full if test(p))
+        return [(n[i] + weight * parent[i]) / (sum(n.values()) + weight) for i in range(k)]
+
+    out = {}
+    for p in pages:
+        n = Counter(best[q[0]] for q in full)
+        prior = [(n[i] + 1) / (len(full) + k) for i in range(k)]
+        prior = lift(lambda q: p[4] and q[4] == p[4], prior)
+        prior = lift(lambda q: p[3] and (q[3], q[4]) == (p[3], p[4]), prior)
+        said = [0.0] * k
+        if p[2]:
+            for i, x in enumerate(langs):
+                told = [q[2] for q in full if q[2] and best[q[0]] == i]
+                said[i] = math.log((told.count(p[2]) + weight * ((0.5 if x == p[2] else 0) + 0.5 / k)) / (len(told) + weight))
+        post = [a + math.log(b) + c for a, b, c in zip(likely[p[0]], prior, said, strict=True)]
+        top = max(range(k), key=lambda i: post[i])
+        sure = 1 / sum(math.exp(x - post[top]) for x in post)
+        out[p[0]] = (langs[top], sure, langs[best[p[0]]], len(grams(p[1])), not grams(p[1]) or sure < least)
+    return out
+
+
+def test_language_of_pages(spark, tmp_path):
+    """The registered query against brute force: markup language, address suffix and host, with wrong, foreign and missing ones."""
+    rows = []
+    for r in language_rows(90):
+        i, text, lang = r[:3]
+        declared = None if i % 7 == 0 else "fr" if i % 11 == 0 else lang
+        suffix = {"en": "uk", "de": "at", "fr": "fr"}[lang] if i % 4 else "com"
+        rows.append((i, text if i % 13 else " ".join(text.split()[:1]), declared, f"www{i % 5}.site.{suffix}", suffix))
+    rows += [(100, "", "de", "www1.site.at", "at"), (101, "12 !", None, None, None), (102, "ing", None, None, None), (103, "que", "xx", "new.site.uk", "uk"), (104, "ei", None, "localhost", None), (105, "a", None, "www2.site.fr", "fr"), (106, "a", None, "www1.site.at", "at")]
+    html = lambda t, d: "<html" + (f' lang="{d.upper()}-x"' if d else "") + f"><head><style>th ing</style></head><body><p>{t}</p></body></html>"
+    pages = [(i, f"https://{h.upper()}/a?b=c.de" if h else None, html(t, d)) for i, t, d, h, _ in rows]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {g.page_id: g for g in language_of_pages(spark, str(tmp_path)).collect()}
+    want = brute_languages(rows)
+    assert set(got) == set(want)
+    for i, (lang, sure, text_lang, n, rejected) in want.items():
+        g = got[i]
+        assert (g.language, g.text_language, g.n_trigrams, g.rejected) == (lang, text_lang, n, rejected) and abs(g.confidence - sure) < 1e-9
+    assert any(w[0] != w[2] for w in want.values())  # evidence beside the text decides somewhere
+
+
 def test_quality(spark, empty):
     rnd = random.Random(3)
     rows, labels = [], []
