@@ -16,7 +16,8 @@ from gridwell.llm.ngram_join import ngram_jaccard_groups
 from gridwell.llm.packing import pack
 from gridwell.llm.suffix_dedup import suffix_clean
 
-#: Shortest repeat that goes, in bytes: passages of over 50 words are longer.
+#: Shortest repeat that goes, in bytes. Passages of over 50 words of prose are longer; those of very short words (under about 2.9 bytes each, such as
+#: number lists; 101 bytes at least) can be shorter, and then they are not caught.
 REPEAT_BYTES = 200
 
 
