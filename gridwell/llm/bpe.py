@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memory, slices, text_batches
+from .common import Memory, slices
 
 MEMO_WORDS = 300_000
 #: Characters of text that are handled at a time.
@@ -134,7 +134,6 @@ def _texts(batch: pa.RecordBatch):
 
 def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_offsets: bool = False) -> DataFrame:
     """id, n_tokens, ids (binary, little-endian unsigned 32-bit), and with with_offsets starts and ends in characters."""
-    text_batches(docs.sparkSession)
     schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids binary" + (", starts array<int>, ends array<int>" if with_offsets else "")
 
     def run(batches):
@@ -165,7 +164,6 @@ def decode(coded: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
 
 def round_trip(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass, without sending the ids between processes."""
-    text_batches(docs.sparkSession)
     schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):

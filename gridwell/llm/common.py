@@ -8,49 +8,80 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary one serves a local master; a
+    cluster's executors could not read it, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='gridwell-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Folders of staged tables, in the order of writing.
-_written: list[str] = []
+class Scratch:
+    """The tables that one run of an operator stages: Parquet in the shared folder, read again. That cuts the lineage, survives lost executors, and
+    later plans know the size. Tables that nothing reads any more are deleted by release(), the others when the application ends."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
 
-def release(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Deletes the staged tables written since a mark (len(_written)), but for the last keep ones. Only for tables that nothing reads any more:
-    what came of them has been written itself."""
-    mark = len(_written) - keep
-    for path in _written[since:mark]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _written[since:mark]
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/gridwell/{name}-{uuid.uuid4().hex}"
+        df.write.options(**options).parquet(path)
+        folder, system = self._folder(path)
+        system.deleteOnExit(folder)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def release(self, *keep: DataFrame) -> None:
+        """Deletes its tables but those to keep: what came of the others has been written itself."""
+        left = []
+        for table, path in self.tables:
+            if any(table is k for k in keep):
+                left.append((table, path))
+            else:
+                folder, system = self._folder(path)
+                system.delete(folder, True)
+        self.tables = left
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it cuts the lineage, survives lost executors, and later plans know its size."""
-    path = f"{shared_folder(df.sparkSession)}/gridwell/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table of a scratch of its own, kept until the application ends."""
+    return Scratch(df.sparkSession).stage(df, name, **options)
 
 
-def staged_bytes(df: DataFrame) -> int:
-    """Size that the optimizer knows of a staged table (its files), to decide on a broadcast."""
+def file_bytes(df: DataFrame) -> int:
+    """Size that the optimizer knows of a staged table: its files, which are compressed."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of a table of small files in memory, about: 8 a value, the bytes of strings, 32 an element of an array."""
+    width: Column = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            width = width + F.coalesce(F.size(f.name), F.lit(0)) * 32
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
 def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """A broadcast hint on a staged table whose files take at most limit bytes; else the table as it is, for a shuffled join."""
-    return F.broadcast(df) if staged_bytes(df) <= limit else df
+    """A broadcast hint on a staged table that takes at most limit bytes in memory; else the table as it is, for a shuffled join."""
+    return F.broadcast(df) if file_bytes(df) <= limit and memory_bytes(df) <= limit else df
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,21 +93,22 @@ def py_ascii_lower(text: str, _table=str.maketrans(UPPER, LOWER)) -> str:
     return text.lower() if text.isascii() else text.translate(_table)
 
 
-def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, *, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component): for each node of the undirected edges the smallest node that it reaches.
 
     Alternates the two star operations of Kiveris et al., "Connected Components in MapReduce and Beyond"
     (SoCC 2014), whose edge count never grows: every node links its larger neighbours (large star), then its
     smaller ones (small star), to its smallest neighbour. A node's list is never gathered; only its minimum
     is, which Spark combines before the shuffle, and a hot node's rows join as an ordinary skewed join.
-    Each round is written to the shared folder. Edges whose ends are equal or null are left out.
+    Each round is written to the shared folder, the last one as a table of scratch. Edges whose ends are equal or null are left out.
     """
     spark = edges.sparkSession
-    pairs = staged(
-        edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        "cc",
-    )
+    own = scratch or Scratch(spark)
+    inner = Scratch(spark)
+    clean = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
+    pairs = inner.stage(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     if pairs.isEmpty():
+        inner.release()
         return spark.createDataFrame([], "node long, component long")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -92,9 +124,8 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
 
     mark = None
     for _ in range(rounds):
-        since = len(_written) - 1  # the round before is of no more use once this one is written
-        pairs = staged(star(star(pairs, True), False), "cc")
-        release(spark, since)
+        pairs = inner.stage(star(star(pairs, True), False), "cc")
+        inner.release(pairs)
         # a star forest: no node is both a leaf and a centre, and no leaf has two centres
         now = pairs.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("s"), F.count_distinct("u").alias("k")).first()
         if (now.n, now.s) == mark and now.n == now.k:
@@ -102,14 +133,10 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
         mark = (now.n, now.s)
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Caps the rows of an Arrow batch, so that a Python worker holds few whole texts at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+    out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = own.stage(out, "components")
+    inner.release()
+    return found
 
 
 def slices(sizes: list[int], most: int):
@@ -155,10 +182,10 @@ def _slot(h: Column) -> tuple[Column, Column]:
     return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
 
 
-def bit_filter(keys: DataFrame, h: str) -> DataFrame:
+def bit_filter(keys: DataFrame, h: str, scratch: Scratch) -> DataFrame:
     """(_word, _bits): a filter of fixed size over a column of 64-bit hashes."""
     word, bit = _slot(F.col(h))
-    return staged(keys.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bit-filter")
+    return scratch.stage(keys.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bit-filter")
 
 
 def split_by_filter(df: DataFrame, h: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:

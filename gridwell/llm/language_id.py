@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, staged, text_batches
+from .common import maybe_broadcast, staged
 from .ngram_join import text_slices
 
 BUCKETS = 1 << 14
@@ -83,7 +83,6 @@ def _spread(column: pa.Array, first: int, width: int) -> tuple[np.ndarray, np.nd
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str | None = "source", suffix_col: str | None = None, sample_rows: int = 20_000, least_rows: int = 200, least: float = 0.5, weight: float = 20.0, block: int = BLOCK) -> DataFrame:
     """One row a document: id, language, confidence, text_language, n_trigrams, rejected."""
     spark = docs.sparkSession
-    text_batches(spark)
     id_type = dict(docs.dtypes)[id_col]
     name = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), name(text_col).alias("text"), name(declared_col).alias("declared"), name(host_col).alias("host"), name(suffix_col).alias("suffix"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_batches
+from .common import slices, staged
 
 HEAD = 1 << 17
 OWN = 255
@@ -205,7 +205,6 @@ def average(copies: DataFrame) -> bytes | None:
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
-    text_batches(spark)
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (key % folds == held_out_fold).alias("held_out"), key.alias("crc"))
     train = rows.where("not held_out")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import Memory, maybe_broadcast, staged, text_batches
+from .common import Memory, maybe_broadcast, staged
 
 WINDOW = 4096
 REGION_WINDOWS = 128
@@ -132,7 +132,6 @@ def file_tokenizer(path: str) -> FileTokenizer:
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(part, row, id, source, local_start, n, width, ids): local_start counts the source's ids before it in the partition."""
-    text_batches(docs.sparkSession)
     schema = f"id {dict(docs.dtypes)[id_col]}, source string, part int, row long, local_start long, n long, width int, ids binary"
 
     def run(batches):

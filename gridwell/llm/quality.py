@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 from .ngram_join import text_slices, word_hashes
 
 WORDS = 128
@@ -125,7 +124,6 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", sample_rows: int = 8000, least: float = 0.5) -> DataFrame:
     """One row a document: id, score, text_score, meta_score (calibrated log-odds as probabilities), kept."""
     spark = docs.sparkSession
-    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(chars_col).cast("long").alias("chars"))
     mark = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("double").alias("y")).where("lid is not null and y is not null")
 
