@@ -2,20 +2,23 @@
 
 1. Anchors. Of every string of `length` bytes the 96-byte gram with the smallest hash is its anchor (winnowing:
    Schleimer et al., SIGMOD 2003), so equal strings have equal anchors at equal offsets. An anchor's region is the
-   stretch of the strings that it stands for; each string lies in just one region. One row of hashes a region, no text.
-2. Pre-aggregation. Regions that are equal as a whole (gram hash and 64-bit region hash) on two places are removed
+   stretch of the strings that it stands for; each string starts in just one region. One row of hashes a region, no text.
+2. Pre-aggregation. Regions that are equal as a whole (gram hash, and two rolling hashes mixed to 64 bits) on two places are removed
    whole. Grams with one region have no repeat. What is left are grams with several distinct regions: one copy of each.
 3. Search. The texts of those regions are laid end to end in blocks of grams. A block is sorted by its first `length` bytes
    (prefix doubling), and its Burrows-Wheeler transform is searched breadth first: intervals of the strings of length l
    are extended backward by one byte; each new interval's right end that no shorter string has set yet gets the common
    prefix l. So common prefixes come out by increasing value (Beller et al., "Computing the longest common prefix array
    based on the Burrows-Wheeler transform", 2013), and the search stops at `length`: ends never set are repeats.
-4. Grams with more than HOT distinct regions would outgrow a block. Their strings are counted by 128-bit hash instead, which Spark
+4. A second, shorter length may be asked for (`passage`): then anchors stand for strings of that length, regions reach as far as the long strings do, and
+   the same search is read at both lengths.
+5. Grams with more than HOT distinct regions would outgrow a block. Their strings are counted by 128-bit hash instead, which Spark
    combines before the shuffle; the result is the same.
-5. Spans of each document are gathered (no more than its bytes / the spacing of anchors) and cut from its text.
+6. Spans of each document are gathered (no more than its bytes / the spacing of anchors) and cut from its text.
 
 Cases: null and empty texts, and those shorter than `length`, are kept as they are. Rows with equal id and text are
-rows of their own, and repeat each other. Null ids pass through. Strings are bytes: a cut may split a character (the query digests bytes; clean() widens
+rows of their own, and repeat each other. Null ids pass through. Very long texts are one row; a task that cuts regions from one holds it whole. Ties of
+anchors go to the rightmost gram. Strings are bytes: a cut may split a character (the query digests bytes; suffix_clean() shrinks
 cuts to whole characters). Empty tables give empty results. Columns other than id and text are not read by suffix_repeats().
 """
 
@@ -29,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import bit_filter, split_by_filter, staged, text_batches
+from .common import Scratch, bit_filter, split_by_filter
 from .ngram_join import mix, text_slices
 
 _U = np.uint64
@@ -76,14 +78,15 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return (_U(0xFFFFFFFF) - (best & _U(0xFFFFFFFF))).astype(np.int64)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int):
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, reach: int):
     """Every string of length bytes of the documents belongs to one anchor, the gram with the smallest hash in it.
 
-    (document, anchor, first string, last string, gram hash, region hash), places counted in data.
+    (document, anchor, first string, last string, end of the region, gram hash, region hash), places counted in data. A region reaches to the end of the
+    string of reach bytes that starts last, or to the document's end.
     """
     gram = min(GRAM, length)
     w = length - gram + 1
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64,) * 5 + (np.uint64,) * 2)
     if len(data) < length:
         return empty
     r = Rolling(data, 0)
@@ -102,10 +105,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int):
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(start)]]) - 1
     lo, hi, p = start[first], start[last], place[first]
+    stop = np.minimum(hi + reach, ends[doc[first]])
     r2 = Rolling(data, 1)
-    shape = mix((p - lo).astype(np.uint64) * _U(1 << 32) + (hi - lo).astype(np.uint64), 12)
-    region = mix(mix(r.of(lo, hi + length), 13) ^ r2.of(lo, hi + length) ^ shape, 14)
-    return doc[first], p, lo, hi, grams[p], region
+    shape = mix((p - lo).astype(np.uint64) * _U(1 << 42) + (hi - lo).astype(np.uint64) * _U(1 << 21) + (stop - lo).astype(np.uint64), 12)
+    region = mix(mix(r.of(lo, stop), 13) ^ r2.of(lo, stop) ^ shape, 14)
+    return doc[first], p, lo, hi, stop, grams[p], region
 
 
 def sorted_strings(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +133,12 @@ def sorted_strings(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return order, head
 
 
-def repeats(text: np.ndarray, length: int) -> np.ndarray:
-    """Of each place of text (circular): whether the length bytes from there on start at another place, too."""
-    n = len(text)
+def repeats(text: np.ndarray, lengths: tuple[int, ...], owned: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each of the lengths (8 at least, in rising order): of each place of text (circular), whether that many bytes from there on start at another place,
+    too. owned: for each length, the places that count."""
+    n, length = len(text), lengths[-1]
     if n < 2:
-        return np.zeros(n, bool)
+        return [np.zeros(n, bool) for _ in lengths]
     order, head = sorted_strings(text, length)
     bwt = text[order - 1]
     by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
@@ -150,7 +155,10 @@ def repeats(text: np.ndarray, length: int) -> np.ndarray:
     cuts = np.flatnonzero(cut)
     value7 = np.concatenate([[False], (diff[cuts[1:-1] - 1] < _U(256)), [True]])
     lo, hi = cuts[:-1][value7[1:]].astype(np.int64), cuts[1:][value7[1:]].astype(np.int64)
-    for _ in range(7, length - 1):
+    cuts_at = {}
+    for l in range(7, length - 1):  # noqa: E741
+        if l + 1 in lengths:
+            cuts_at[l + 1] = cut.copy()
         if not len(lo):
             break
         size = hi - lo
@@ -168,8 +176,14 @@ def repeats(text: np.ndarray, length: int) -> np.ndarray:
         begin = lf[at[first][rank[np.searchsorted(key_first[rank], key_last)]]]
         lo, hi = begin.astype(np.int64), end[fresh]
         cut[hi] = True
-    out = np.zeros(n, bool)
-    out[order] = ~(cut[:-1] & cut[1:])
+    out = []
+    for k, at in enumerate(lengths):
+        ends = cuts_at.get(at, cut)
+        group = np.cumsum(ends[:-1]) - 1
+        mask, counts = np.zeros(n, bool), np.ones(n, bool) if owned is None else owned[k]
+        counts = counts[order]
+        mask[order] = (np.bincount(group, counts)[group] > 1) & counts
+        out.append(mask)
     return out
 
 
@@ -178,16 +192,23 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def repeated_in_block(items: list[tuple], length: int):
-    """items: (gram, region, text). Yields (gram, region, from, to): strings, counted from the region's first one, that are repeats."""
-    sizes = [len(x[2]) + 1 for x in items]
-    text = np.frombuffer(b"".join(x[2] + bytes([SEPARATOR]) for x in items), np.uint8)
-    mask = repeats(text, length)
-    start = 0
-    for (gram, region, data), size in zip(items, sizes, strict=True):
-        for a, b in zip(*_runs(mask[start : start + len(data) - length + 1]), strict=True):
-            yield gram, region, int(a), int(b)
-        start += size
+def repeated_in_block(items: list[tuple], lengths: tuple[int, ...]):
+    """items: (gram, region, number of strings, text). Yields (gram, region, level, from, to): strings, counted from the region's first one, that are repeats."""
+    sizes = [len(x[3]) + 1 for x in items]
+    text = np.frombuffer(b"".join(x[3] + bytes([SEPARATOR]) for x in items), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    owned = []
+    for length in lengths:  # a place that lies in two regions counts in the one where it is a string's start
+        step = np.zeros(len(text) + 1, np.int32)
+        many = np.array([max(0, min(x[2], len(x[3]) - length + 1)) for x in items])
+        np.add.at(step, starts, 1)
+        np.add.at(step, starts + many, -1)
+        owned.append(np.cumsum(step[:-1]) > 0)
+    for level, mask in enumerate(repeats(text, lengths, owned)):
+        a, b = _runs(mask)
+        of = np.searchsorted(starts, a, side="right") - 1
+        for k, i, j in zip(of.tolist(), (a - starts[of]).tolist(), (b - starts[of]).tolist(), strict=True):
+            yield items[k][0], items[k][1], level, i, j
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,137 +216,150 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), text.alias("text"))
 
 
-def anchor_table(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, x, lo, hi, gram, region): arrays of each row's anchors."""
-    text_batches(docs.sparkSession)
-    kinds = ("lo array<int>", "hi array<int>", "anchor array<int>", "gram array<long>", "region array<long>")
+def anchor_table(docs: DataFrame, length: int, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, x, lo, hi, stop, anchor, gram, region): arrays of each row's anchors."""
+    names = ["lo", "hi", "stop", "anchor", "gram", "region"]
+    kinds = [f"{c} array<{'int' if i < 4 else 'long'}>" for i, c in enumerate(names)]
 
     def run(batches):
         for batch in batches:
             for row, data, ends in text_slices(batch.column(2)):
                 with np.errstate(over="ignore"):
-                    doc, p, lo, hi, gram, region = anchors(data, ends, length)
+                    doc, p, lo, hi, stop, gram, region = anchors(data, ends, length, reach)
                 begin = np.concatenate([[0], ends[:-1]])[doc]
                 starts = pa.array(np.searchsorted(doc, np.arange(len(ends) + 1)).astype(np.int32))
-                cols = [(x - begin).astype(np.int32) for x in (lo, hi, p)] + [x.view(np.int64) for x in (gram, region)]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(row, len(ends)) for k in (0, 1)] + [pa.ListArray.from_arrays(starts, pa.array(c)) for c in cols], names=["id", "x", "lo", "hi", "anchor", "gram", "region"])
+                cols = [(x - begin).astype(np.int32) for x in (lo, hi, stop, p)] + [x.view(np.int64) for x in (gram, region)]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(row, len(ends)) for k in (0, 1)] + [pa.ListArray.from_arrays(starts, pa.array(c)) for c in cols], names=["id", "x", *names])
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, x long, " + ", ".join(kinds))
 
 
-def spans(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    """(id, x, spans): of rows with repeats, [from, to) in bytes, not merged. x is a hash of the text."""
-    since = len(common._written)
-    table = staged(anchor_table(docs, length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "suffix-anchors", compression="zstd")
-    flat = table.select("row", F.explode(F.arrays_zip("lo", "hi", "anchor", "gram", "region")).alias("a")).select("row", "a.*")
-    regions = flat.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "anchor")).alias("rep"))
+def spans(docs: DataFrame, length: int, id_col: str, text_col: str, scratch: Scratch, passage: int | None = None, hot: int = HOT) -> DataFrame:
+    """(id, x, s): of rows with repeats, s of (a, b, long): [a, b) in bytes, not merged, of the strings of length bytes (long) and of passage bytes. x is a
+    hash of the text."""
+    lengths = (passage, length) if passage and passage < length else (length,)
+    own = Scratch(docs.sparkSession)
+    table = own.stage(anchor_table(docs, lengths[0], length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "suffix-anchors", compression="zstd")
+    flat = table.select("row", F.explode(F.arrays_zip("lo", "hi", "stop", "anchor", "gram", "region")).alias("a")).select("row", "a.*")
+    regions = flat.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "stop", "anchor")).alias("rep"))
     grams = regions.groupBy("gram").agg(F.count("*").alias("distinct"), F.sum("n").alias("all")).where("all > 1")
-    multi = staged(regions.join(grams, "gram").select("gram", "region", "n", "distinct", "rep.*"), "suffix-regions")
+    multi = own.stage(regions.join(grams, "gram").select("gram", "region", "n", "distinct", "rep.*"), "suffix-regions")
     mixed = multi.where("distinct > 1")
-    total = mixed.agg(F.sum(F.col("hi") - F.col("lo") + length + 1)).first()[0] or 0
-    wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("gram", "region", "lo", "hi", "anchor", (F.col("distinct") > hot).alias("hot"))).alias("wanted"))
-    wanted = staged(table.select("row", "id", "x").join(wanted, "row").groupBy("id", "x").agg(F.flatten(F.collect_list("wanted")).alias("wanted")), "suffix-wanted")
-    keyed = _keyed(docs, id_col, text_col)
-    # texts without wanted regions stay where they are: a filter of fixed size keeps most of them out of the join's shuffle
-    likely, _ = split_by_filter(keyed, "x", bit_filter(wanted, "x"))
-    found = likely.join(wanted.select(F.col("id").alias("wid"), F.col("x").alias("wx"), "wanted").hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("x") == F.col("wx"))).select("text", "wanted")
+    total = mixed.agg(F.sum(F.col("stop") - F.col("lo") + 1)).first()[0] or 0
+    wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("gram", "region", "lo", "hi", "stop", "anchor", (F.col("distinct") > hot).alias("hot"))).alias("wanted"))
+    wanted = own.stage(table.select("row", "id", "x").join(wanted, "row").groupBy("id", "x").agg(F.flatten(F.collect_list("wanted")).alias("wanted")), "suffix-wanted")
+    # texts without wanted regions stay where they are: a filter of fixed size keeps most of them out of the join's shuffle; of equal rows one is enough
+    likely, _ = split_by_filter(_keyed(docs, id_col, text_col), "x", bit_filter(wanted, "x", own))
+    found = likely.dropDuplicates(["id", "x"]).join(wanted.select(F.col("id").alias("wid"), F.col("x").alias("wx"), "wanted").hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("x") == F.col("wx"))).select("text", "wanted")
 
     def cut_out(batches):
         for batch in batches:
             for text, items in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
-                cols = [[], [], [], [], []]
-                for w in items:
-                    for col, v in zip(cols, (w["gram"], w["region"], w["hot"], w["anchor"] - w["lo"], data[w["lo"] : w["hi"] + length]), strict=True):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names=["gram", "region", "hot", "lead", "data"])
+                rows = [(w["gram"], w["region"], w["hot"], w["hi"] - w["lo"] + 1, data[w["lo"] : w["stop"]]) for w in items]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], names=["gram", "region", "hot", "strings", "data"])
 
-    pieces = staged(found.mapInArrow(cut_out, "gram long, region long, hot boolean, lead int, data binary"), "suffix-pieces", compression="zstd")
+    pieces = own.stage(found.mapInArrow(cut_out, "gram long, region long, hot boolean, strings int, data binary"), "suffix-pieces", compression="zstd")
     tasks = max(1, -(-total // TASK_BYTES))
+    names, kinds = ("gram", "region", "level", "a", "b"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def search(part: pa.Table) -> pa.Table:
-        items = dict(zip(zip(part.column("gram").to_pylist(), part.column("region").to_pylist(), strict=True), part.column("data").to_pylist(), strict=True))
+        items = sorted(zip(*(part.column(c).to_pylist() for c in ("gram", "region", "strings", "data")), strict=True))
         out, block, size, last = [], [], 0, None
         with np.errstate(over="ignore"):
-            for (gram, region), data in sorted(items.items()):
-                if size > BLOCK_BYTES and gram != last:
-                    out += repeated_in_block(block, length)
+            for item in items:
+                if size > BLOCK_BYTES and item[0] != last:
+                    out += repeated_in_block(block, lengths)
                     block, size = [], 0
-                block.append((gram, region, data))
-                size, last = size + len(data) + 1, gram
+                block.append(item)
+                size, last = size + len(item[3]) + 1, item[0]
             if block:
-                out += repeated_in_block(block, length)
-        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("gram", pa.int64()), ("region", pa.int64()), ("a", pa.int32()), ("b", pa.int32())))})
+                out += repeated_in_block(block, lengths)
+        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(names, kinds, strict=True))})
 
-    cold = pieces.where("not hot").withColumn("task", F.pmod(F.xxhash64("gram"), F.lit(tasks))).select("task", "gram", "region", "data").groupBy("task").applyInArrow(search, "gram long, region long, a int, b int")
+    result = "gram long, region long, level int, a int, b int"
+    cold = pieces.where("not hot").withColumn("task", F.pmod(F.xxhash64("gram"), F.lit(tasks))).select("task", "gram", "region", "strings", "data").groupBy("task").applyInArrow(search, result)
 
     def strings(batches):
         for batch in batches:
-            for gram, region, lead, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for gram, region, many, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 text = np.frombuffer(data, np.uint8)
-                with np.errstate(over="ignore"):
-                    at = np.arange(len(text) - length + 1)
-                    h = [mix(Rolling(text, k).of(at, at + length), 20 + k).view(np.int64) for k in (0, 1)]
-                k = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([gram] * k, pa.int64()), pa.array([region] * k, pa.int64()), pa.array(at.astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["gram", "region", "a", "h1", "h2"])
-
-    single = pieces.where("hot").dropDuplicates(["gram", "region"]).select("gram", "region", "lead", "data").mapInArrow(strings, "gram long, region long, a int, h1 long, h2 long")
-    often = single.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
-    warm = single.join(often, ["h1", "h2"]).select("gram", "region", "a", (F.col("a") + 1).alias("b"))
-    whole = multi.where("n > 1").select("gram", "region", F.lit(0).alias("a"), (F.col("hi") - F.col("lo") + 1).alias("b"))
+                for level, n in enumerate(lengths):
+                    with np.errstate(over="ignore"):
+                        at = np.arange(max(0, min(many, len(text) - n + 1)))
+                        h = [mix(Rolling(text, k).of(at, at + n), 20 + k).view(np.int64) for k in (0, 1)]
+                    k = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([gram] * k, pa.int64()), pa.array([region] * k, pa.int64()), pa.array([level] * k, pa.int32()), pa.array(at.astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["gram", "region", "level", "a", "h1", "h2"])
+
+    single = pieces.where("hot").select("gram", "region", "strings", "data").mapInArrow(strings, "gram long, region long, level int, a int, h1 long, h2 long")
+    often = single.groupBy("level", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
+    warm = single.join(often, ["level", "h1", "h2"]).select("gram", "region", "level", "a", (F.col("a") + 1).alias("b"))
+    whole = multi.where("n > 1").select("gram", "region", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.least(F.col("hi") - F.col("lo") + 1, F.col("stop") - F.col("lo") - n + 1).alias("b")) for i, n in enumerate(lengths)])).alias("w"))
+    whole = whole.where("w.b > 0").select("gram", "region", "w.level", F.lit(0).alias("a"), "w.b")
     partly = cold.unionAll(warm) if mixed.where(F.col("distinct") > hot).limit(1).count() else cold
-    hits = staged(whole.unionAll(partly).groupBy("gram", "region").agg(F.collect_list(F.struct("a", "b")).alias("hits")), "suffix-hits")
-    covered = flat.join(hits, ["gram", "region"]).select("row", F.transform("hits", lambda h: F.struct((F.col("lo") + h.a).alias("a"), (F.col("lo") + h.b - 1 + length).alias("b"))).alias("s"))
-    by_row = covered.groupBy("row").agg(F.flatten(F.collect_list("s")).alias("s"))
-    out = staged(table.select("row", "id", "x").join(by_row, "row").groupBy("id", "x").agg(F.first("s").alias("s")), "suffix-spans")
-    common.release(docs.sparkSession, since)
+    hits = own.stage(whole.unionAll(partly).groupBy("gram", "region").agg(F.collect_list(F.struct("level", "a", "b")).alias("hits")), "suffix-hits")
+    reach = lambda h: F.when(h.level == len(lengths) - 1, length).otherwise(lengths[0])
+    shifted = F.transform("hits", lambda h: F.struct((F.col("lo") + h.a).alias("a"), (F.col("lo") + h.b - 1 + reach(h)).alias("b"), (h.level == len(lengths) - 1).alias("long")))
+    by_row = flat.join(hits, ["gram", "region"]).select("row", shifted.alias("s")).groupBy("row").agg(F.flatten(F.collect_list("s")).alias("s"))
+    out = scratch.stage(table.select("row", "id", "x").join(by_row, "row").groupBy("id", "x").agg(F.first("s").alias("s")), "suffix-spans")
+    own.release()
     return out
 
 
 def merged(spans_: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by the spans."""
+    if not spans_:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, [s["a"] for s in spans_], 1)
     np.add.at(step, [s["b"] for s in spans_], -1)
     return _runs(np.cumsum(step[:n]) > 0)
 
 
-def _with_spans(docs: DataFrame, key: str, id_: str, found: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, key: str, id_: str, found: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (with the text's hash as key) and s: only rows whose text may have spans go through the join."""
-    likely, rest = split_by_filter(docs, key, bit_filter(found, "x"))
+    likely, rest = split_by_filter(docs, key, bit_filter(found, "x", scratch))
     side = found.select(F.col("id").alias("sid"), F.col("x").alias("sx"), "s").hint("merge")
     joined = likely.join(side, F.col(id_).eqNullSafe(F.col("sid")) & (F.col(key) == F.col("sx")), "left").drop("sid", "sx")
     return joined.unionByName(rest.withColumn("s", F.lit(None).cast(found.schema["s"].dataType)))
 
 
-def suffix_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (of the removed runs, in bytes)."""
-    found = spans(docs, length, id_col, text_col, hot)
-    joined = _with_spans(_keyed(docs, id_col, text_col), "x", "id", found).select("id", "text", "s")
+def suffix_repeats(docs: DataFrame, *, length: int = 400, passage: int | None = None, words: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (of the removed runs, in bytes), n_passages, passage_bytes.
+
+    With passage, n_passages counts the maximal runs that strings of passage bytes cover which also start elsewhere and that hold over words words, and
+    passage_bytes their bytes; without it, they are the removed runs of over words words. They remove nothing.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = spans(docs, length, id_col, text_col, scratch, passage, hot)
+    joined = _with_spans(_keyed(docs, id_col, text_col), "x", "id", found, scratch).select("id", "text", "s")
 
     def run(batches):
         for batch in batches:
-            rows = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in range(8)]
             for text, s in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
-                a, b = merged(s, len(data)) if s else (np.zeros(0, int), np.zeros(0, int))
+                a, b = merged([x for x in s or [] if x["long"]], len(data))
                 kept = b"".join(data[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)) if len(a) else data
-                for col, v in zip(rows, (len(data), len(data) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), a.tolist(), b.tolist()), strict=True):
+                told = [(i, j) for i, j in zip(*(x.tolist() for x in merged(s or [], len(data))), strict=True) if len(data[i:j].split()) > words]
+                for col, v in zip(rows, (len(data), len(data) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), a.tolist(), b.tolist(), len(told), sum(j - i for i, j in told)), strict=True):
                     col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "n_passages", "passage_bytes"])
 
-    return joined.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>, n_passages long, passage_bytes long"
+    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def suffix_clean(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs, all columns, with the repeats cut from the text. Cuts shrink to whole characters; rows without repeats stay as they are."""
-    found = spans(docs, length, id_col, text_col, hot)
+    scratch = Scratch(docs.sparkSession)
+    found = spans(docs, length, id_col, text_col, scratch, hot=hot)
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.col(f"c{names.index(text_col)}")
     keyed = inner.withColumn("x", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
-    joined = _with_spans(keyed, "x", f"c{names.index(id_col)}", found).select(*inner.columns, "s")
+    joined = _with_spans(keyed, "x", f"c{names.index(id_col)}", found, scratch).select(*inner.columns, "s")
     k = names.index(text_col)
 
     def run(batches):

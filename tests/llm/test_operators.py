@@ -18,7 +18,7 @@ from gridwell.llm.exact_dedup import exact_dedup
 from gridwell.llm.language_id import language_id, page_evidence
 from gridwell.llm.license_scan import license_scan
 from gridwell.llm.lm_score import C, Model, lm_scores
-from gridwell.llm.ngram_join import _merge, ngram_jaccard_groups, segment_keys, similar_links
+from gridwell.llm.ngram_join import Frequent, gram_sets, ngram_jaccard_groups, occurring, parities, possible_links, prefixes, similar_links
 from gridwell.llm.packing import FileTokenizer, fill, pack
 from gridwell.llm.quality import quality_scores
 from gridwell.llm.queries import language_of_pages
@@ -205,8 +205,7 @@ def brute_components(ids, links):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("n, num, block", [(3, 90, 1500), (5, 80, 3)])
-def test_ngram_groups(docs, rows, n, num, block):
+def check_ngram_groups(got, rows, n, num):
     word = re.compile("[^\x20\x09-\x0d]+")
     sets = []
     for r in rows:
@@ -219,37 +218,102 @@ def test_ngram_groups(docs, rows, n, num, block):
         if rows[i][0] is not None:
             least[p].append(rows[i][0])
     want = Counter((rows[i][0], len(sets[i]), min(least[p], default=None) if sets[i] else rows[i][0]) for i, p in part.items())
-    got = ngram_jaccard_groups(docs, n=n, num=num, den=100, block=block).collect()
     assert Counter((g.doc_id, g.n_shingles, g.component_id) for g in got) == want
+    return want
+
+
+@pytest.mark.parametrize("n, num, block, most", [(3, 90, 2 << 20, 1000), (5, 80, 1500, 2)])
+def test_ngram_groups(docs, rows, n, num, block, most):
+    check_ngram_groups(ngram_jaccard_groups(docs, n=n, num=num, den=100, block_bytes=block, list_members=most).collect(), rows, n, num)
+
+
+def test_ngram_groups_of_one_large_cluster(spark):
+    """A chain and a crowd of near copies in one cluster, which many units share, with members that only others than the crowd's first link."""
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(vocab) for _ in range(120)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rnd.randrange(7)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        rows.append((k, " ".join(w)))
+    for k in range(60):  # each differs from the one before by one word more
+        base[2 * k] = f"x{k}"
+        rows.append((100 + k, " ".join(base)))
+    for k in range(40):  # a common passage in otherwise different texts
+        rows.append((200 + k, " ".join([rnd.choice(vocab) for _ in range(60)] + [f"p{i}" for i in range(50)])))
+    rows += [(None, rows[5][1]), (7, rows[7][1]), (7, rows[60][1])]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block, most in ((4000, 1000), (9000, 5)):
+        got = ngram_jaccard_groups(docs, n=3, num=80, den=100, block_bytes=block, list_members=most).collect()
+        want = check_ngram_groups(got, rows, 3, 80)
+    assert len({c for _, _, c in want}) < 80
+
+
+def test_structured_words_do_not_collide(spark):
+    """Thue-Morse words, which polynomial hashes modulo a power of two cannot tell apart."""
+    bits = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    docs = spark.createDataFrame([(1, bits), (2, "".join("ba"["ab".index(c)] for c in bits)), (3, bits)], "doc_id long, text string")
+    assert {g.doc_id: g.component_id for g in ngram_jaccard_groups(docs).collect()} == {1: 1, 2: 2, 3: 1}
 
 
 def test_ngram_groups_of_nothing(empty):
     assert ngram_jaccard_groups(empty).collect() == []
 
 
-def test_similar_sets_share_a_key():
+def test_similar_sets_share_a_key_and_a_list():
     rng = np.random.default_rng(3)
     for num in (80, 90):
-        for size in (*range(9, 60, 3), 200, 900):
+        for size in (*range(1, 60, 3), 200, 900):
             a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-            drop = int(size * (100 - num) / 100)
-            b = np.sort(np.concatenate([rng.choice(a, len(a) - drop, replace=False)]))
-            with np.errstate(over="ignore"):
-                keys, of = segment_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, 100)
-            assert len(b) * 100 < num * len(a) or set(keys[of == 0]) & set(keys[of == 1])
+            b = np.sort(rng.choice(a, len(a) - int(size * (100 - num) / 100), replace=False))
+            common = np.sort(rng.choice(a, size // 2, replace=False))
+            for heavy in ((np.zeros(0, np.uint64), np.zeros(0, np.int64)), (common, rng.integers(1, 99, len(common)))):
+                with np.errstate(over="ignore"):
+                    grams, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+                    keys, of = prefixes(grams, at, num, 100, heavy)
+                    assert set(keys[of == 0]) & set(keys[of == 1])
+                    assert possible_links(np.diff(at), parities(grams, at), num, 100) == [(0, 1)]
+
+
+def test_possible_links_lose_none():
+    rnd = random.Random(11)
+    for num in (50, 80):
+        sets = [np.array(sorted(rnd.sample(range(90), rnd.randint(5, 80))), np.uint64) for _ in range(70)]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        with np.errstate(over="ignore"):
+            found = possible_links(np.diff(at), parities(np.concatenate(sets), at), num, 100)
+        part = brute_components(range(70), found)
+        assert all(part[i] == part[j] for i in range(70) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= num * len(set(sets[i]) | set(sets[j])))
+
+
+def test_frequent_values():
+    rng = np.random.default_rng(4)
+    some = Frequent(50)
+    values = np.concatenate([np.repeat(np.arange(20, dtype=np.uint64), 400), rng.integers(100, 1 << 40, 4000, dtype=np.uint64)])
+    rng.shuffle(values)
+    for part in np.array_split(values, 30):
+        some.add(part)
+    found, counts = some.often(1)
+    assert set(range(20)) <= set(found.tolist()) and (counts <= 400).all() and len(found) <= 50
 
 
 def test_skipping_merge_and_links():
     rnd = random.Random(5)
     for _ in range(200):
-        lists = [np.array(sorted(rnd.sample(range(40), rnd.randint(0, 20)))) for _ in range(rnd.randint(1, 7))]
+        lists = [sorted(rnd.sample(range(40), rnd.randint(0, 20))) for _ in range(rnd.randint(1, 7))]
         least = rnd.randint(1, 4)
-        count = Counter(int(v) for x in lists for v in x)
-        assert _merge(lists, least).tolist() == sorted(v for v, k in count.items() if k >= least)
+        count = Counter(v for x in lists for v in x)
+        assert dict(occurring(lists, least)) == {v: k for v, k in count.items() if k >= least}
     for num in (50, 80):
         sets = [np.array(sorted(rnd.sample(range(30), rnd.randint(5, 25))), np.uint64) for _ in range(60)]
         true = [(i, j) for i in range(60) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= num * len(set(sets[i]) | set(sets[j]))]
         assert brute_components(range(60), similar_links(sets, num, 100)) == brute_components(range(60), true)
+        known = [i % 7 for i in range(60)]
+        both = similar_links(sets, num, 100, known) + [(i, i % 7) for i in range(60)]
+        assert brute_components(range(60), both) == brute_components(range(60), true + [(i, i % 7) for i in range(60)])
 
 
 def test_components(spark):
@@ -260,6 +324,18 @@ def test_components(spark):
     assert got == brute_components(nodes, [e for e in edges if None not in e and e[0] != e[1]])
 
 
+def brute_runs(texts, length):
+    count = Counter(d[i : i + length] for d in texts for i in range(len(d) - length + 1))
+    out = []
+    for d in texts:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append([m.span() for m in re.finditer(b"\1+", bytes(gone))])
+    return out
+
+
 def brute_repeats(texts, length):
     count = Counter(d[i : i + length] for d in texts for i in range(len(d) - length + 1))
     out = []
@@ -273,14 +349,17 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_repeats(docs, rows, empty, hot):
-    want = brute_repeats([(r[1] or "").encode() for r in rows], 120)
-    got = suffix_repeats(docs, length=120, hot=hot).collect()
+@pytest.mark.parametrize("hot, passage", [(4096, None), (1, None), (4096, 100), (1, 100)])
+def test_suffix_repeats(docs, rows, empty, hot, passage):
+    texts = [(r[1] or "").encode() for r in rows]
+    want = brute_repeats(texts, 120)
+    got = suffix_repeats(docs, length=120, passage=passage, words=9, hot=hot).collect()
     assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == Counter((r[0], *w) for r, w in zip(rows, want))
     assert sum(w[1] for w in want) > 5000
+    told = [[x for x in runs if len(d[slice(*x)].split()) > 9] for d, runs in zip(texts, brute_runs(texts, passage or 120))]
+    assert Counter((g.doc_id, g.n_passages, g.passage_bytes) for g in got) == Counter((r[0], len(x), sum(b - a for a, b in x)) for r, x in zip(rows, told))
     if hot == 1:
-        assert suffix_repeats(empty).collect() == []
+        assert suffix_repeats(empty, passage=passage).collect() == []
         clean = suffix_clean(docs, length=120)
         assert clean.columns == docs.columns and clean.count() == len(rows)
 
@@ -296,7 +375,13 @@ def test_interval_expansion():
         text, length = np.concatenate(parts), int(rng.integers(9, 20))
         twice = text.tobytes() * 2
         count = Counter(twice[i : i + length] for i in range(len(text)))
-        assert repeats(text, length).tolist() == [count[twice[i : i + length]] > 1 for i in range(len(text))]
+        short = Counter(twice[i : i + 8] for i in range(len(text)))
+        some = rng.random(len(text)) < 0.5
+        few = Counter(twice[i : i + 8] for i in np.flatnonzero(some))
+        assert repeats(text, (length,))[0].tolist() == [count[twice[i : i + length]] > 1 for i in range(len(text))]
+        masks = repeats(text, (8, length))
+        assert masks[0].tolist() == [short[twice[i : i + 8]] > 1 for i in range(len(text))] and (masks[1] == repeats(text, (length,))[0]).all()
+        assert repeats(text, (8, length), [some, some])[0].tolist() == [bool(some[i]) and few[twice[i : i + 8]] > 1 for i in range(len(text))]
 
 
 def test_embedding_groups(spark):
