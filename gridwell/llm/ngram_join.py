@@ -10,7 +10,8 @@ later steps see each class once, however many copies it has.
 3. Clusters. Each class has a bitmap of its elements' parity (2 to 4 bits an element; the bits in which two bitmaps differ are never more than the
    elements in which the sets differ). Within a list, classes link if sizes and bitmaps allow the similarity. Lists over LIST classes are not gathered:
    each member links the list's smallest one. Both say yes to every true link, so groups of near copies lie within clusters, the links' components;
-   and as bitmaps say yes to little else, most clusters are such groups.
+   and as bitmaps say yes to little else, most clusters are such groups. Each class's longest list is compared first; of the other lists, which say much the
+   same, only those go on whose members are not connected by then.
 4. Search. Clusters are dealt to units of about BLOCK_BYTES of sets. In each unit an inverted index is searched with every class, in order of size, for
    smaller classes that it is not connected with yet. By the T-occurrence bound the longest lists are set aside; the short ones are merged on a heap that
    skips, and what occurs often enough there is binary-probed in the long ones (DivideSkip). Links are spanning edges; no pairs are emitted.
@@ -120,8 +121,9 @@ def folded(rows: np.ndarray, words: int) -> np.ndarray:
     return rows
 
 
-def possible_links(size: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning edges of the graph that links sets whose sizes and bitmaps allow Jaccard >= num / den."""
+def possible_links(size: np.ndarray, bitmaps: list[bytes], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the graph that links sets whose sizes and bitmaps allow Jaccard >= num / den; sets of equal known are connected already."""
+    known = np.arange(len(size)) if known is None else known
     width = np.array([len(b) // 8 for b in bitmaps])
     rows = {int(w): np.stack([np.frombuffer(bitmaps[i], np.uint64) for i in np.flatnonzero(width == w)]) for w in np.unique(width)}
     left = {w: np.flatnonzero(width == w) for w in rows}
@@ -137,6 +139,9 @@ def possible_links(size: np.ndarray, bitmaps: list[bytes], num: int, den: int) -
         while queue:
             x = queue.pop()
             w, n = int(width[x]), size[x]
+            same = np.flatnonzero(open_ & (known == known[x]))
+            open_[same] = False
+            queue += same.tolist()
             for v, at in left.items():
                 at = left[v] = at[open_[at]]
                 if not len(at):
@@ -392,26 +397,37 @@ def _clusters(docs: DataFrame, sig: DataFrame, heavy, n: int, num: int, den: int
     hot = members.where((F.col("k") > most) & (F.col("h1") != F.col("least"))).select(F.col("h1").alias("src"), F.col("least").alias("dst"))
     lists = members.where(F.col("k") <= most).groupBy("key").agg(F.array_sort(F.collect_set("h1")).alias("list")).select("list").distinct()
     lists = own.stage(lists.withColumn("number", F.monotonically_increasing_id()), "ngram-lists")
-    bits = sig.where("n > 0").groupBy("h1").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    wanted = lists.select("number", F.explode("list").alias("h1"))
-    listed = own.stage(wanted.join(bits, "h1"), "ngram-listed", compression="zstd")
-    total = listed.agg(F.sum(F.octet_length("parity") + 64)).first()[0] or 0
-    tasks = max(1, -(-total // TASK_BYTES))
+    bits = own.stage(sig.where("n > 0").groupBy("h1").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "ngram-bitmaps")
+    flat = lists.select("number", F.size("list").alias("k"), F.explode("list").alias("h1"))
+    longest = own.stage(flat.groupBy("h1").agg(F.max(F.struct("k", "number")).alias("m")).select(F.col("m.number").alias("number")).distinct(), "ngram-longest")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("number")
-        number, h1, size, parity = (table.column(c) for c in ("number", "h1", "n", "parity"))
-        number, h1, size, parity = number.to_numpy(), h1.to_numpy(), size.to_numpy(), parity.to_pylist()
+        number, h1, size, known, parity = (table.column(c) for c in ("number", "h1", "n", "known", "parity"))
+        number, h1, size, known, parity = number.to_numpy(), h1.to_numpy(), size.to_numpy(), known.to_numpy(), parity.to_pylist()
         cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])).tolist()
         src, dst = [], []
         for a, b in zip(cuts, cuts[1:]):
-            found = possible_links(size[a:b], parity[a:b], num, den)
+            found = possible_links(size[a:b], parity[a:b], num, den, known[a:b])
             src += [h1[a + i] for i, _ in found]
             dst += [h1[a + j] for _, j in found]
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    near = listed.withColumn("task", F.pmod(F.xxhash64("number"), F.lit(tasks))).groupBy("task").applyInArrow(compare, "src long, dst long")
-    found = connected_components(hot.unionAll(near).distinct(), scratch)
+    def compared(members: DataFrame, name: str) -> DataFrame:
+        """(src, dst) of (number, h1, known): possible links within the lists."""
+        listed = own.stage(members.join(bits, "h1"), name, compression="zstd")
+        tasks = max(1, -(-(listed.agg(F.sum(F.octet_length("parity") + 64)).first()[0] or 0) // TASK_BYTES))
+        dealt = listed.withColumn("task", F.pmod(F.xxhash64("number"), F.lit(tasks)))
+        return own.stage(dealt.groupBy("task").applyInArrow(compare, "src long, dst long"), f"{name}-links")
+
+    near = hot.unionAll(compared(flat.join(longest, "number", "left_semi").select("number", "h1", F.col("h1").alias("known")), "ngram-first"))
+    found = connected_components(near, scratch)
+    others = flat.join(longest, "number", "left_anti").join(found, F.col("h1") == F.col("node"), "left").select("number", "h1", F.coalesce("component", "h1").alias("known"))
+    others = own.stage(others, "ngram-others")
+    apart = others.groupBy("number").agg(F.min("known").alias("least"), F.max("known").alias("greatest")).where("least <> greatest").select("number")
+    apart = own.stage(others.join(apart, "number", "left_semi"), "ngram-apart")
+    if not apart.isEmpty():
+        found = connected_components(near.unionAll(compared(apart, "ngram-second")), scratch)
     own.release()
     return found
 
@@ -433,6 +449,25 @@ def _searched(units: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
     return units.withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(tasks))).select("task", "unit", "node", "known", "grams").groupBy("task").applyInArrow(search, "src long, dst long")
 
 
+def _strays_linked(placed: DataFrame, parts: DataFrame, grams: DataFrame, links: DataFrame, num: int, den: int, block_bytes: int, scratch: Scratch) -> DataFrame:
+    """parts, or the components with what links classes outside their cluster's largest component have in its other units."""
+    wide = placed.where("blocks > 1").join(parts, "node", "left").withColumn("known", F.coalesce("component", "node"))
+    wide = scratch.stage(wide.select("node", "cluster", "blocks", "block", "known", "n"), "ngram-wide")
+    groups = wide.groupBy("cluster", "known").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("known", F.struct("k", "known")).alias("main"))
+    strays = wide.join(groups, "cluster").where("known <> main")
+    chunks = strays.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("chunks"))
+    strays = scratch.stage(strays.join(chunks, "cluster").select("node", "cluster", "blocks", "known", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("chunk")), "ngram-strays")
+    if not strays.isEmpty():
+        number = F.xxhash64("cluster", "block", "chunk").alias("unit")
+        stray_units = strays.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "known", number)
+        index = wide.join(strays.groupBy("cluster").agg(F.first("chunks").alias("chunks")), "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "known", number)
+        again = scratch.stage(stray_units.unionAll(index).join(grams, "node").select("unit", "node", "known", "grams"), "ngram-stray-units", compression="zstd")
+        more = again.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
+        found = scratch.stage(_searched(again, num, den, max(1, -(-more // TASK_BYTES))), "ngram-stray-links")
+        return connected_components(links.unionAll(found), scratch)
+    return parts
+
+
 def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, list_members: int = LIST) -> DataFrame:
     """One row a document: id, n_shingles, component_id, class_id (smallest id with an equal set)."""
     spark = docs.sparkSession
@@ -468,21 +503,8 @@ def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int
     parts = connected_components(links, scratch)
 
     # of clusters of several units, those outside the largest component are searched for in the other units
-    wide = placed.where("blocks > 1").join(parts, "node", "left").withColumn("known", F.coalesce("component", "node"))
-    wide = scratch.stage(wide.select("node", "cluster", "blocks", "block", "known", "n"), "ngram-wide")
-    groups = wide.groupBy("cluster", "known").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("known", F.struct("k", "known")).alias("main"))
-    strays = wide.join(groups, "cluster").where("known <> main")
-    chunks = strays.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("chunks"))
-    strays = scratch.stage(strays.join(chunks, "cluster").select("node", "cluster", "blocks", "known", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("chunk")), "ngram-strays")
-    if not strays.isEmpty():
-        number = F.xxhash64("cluster", "block", "chunk").alias("unit")
-        stray_units = strays.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "known", number)
-        index = wide.join(strays.groupBy("cluster").agg(F.first("chunks").alias("chunks")), "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "known", number)
-        again = scratch.stage(stray_units.unionAll(index).join(grams, "node").select("unit", "node", "known", "grams"), "ngram-stray-units", compression="zstd")
-        more = again.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
-        found = scratch.stage(_searched(again, num, den, max(1, -(-more // TASK_BYTES))), "ngram-stray-links")
-        parts = connected_components(links.unionAll(found), scratch)
-
+    if not placed.where("blocks > 1").isEmpty():
+        parts = _strays_linked(placed, parts, grams, links, num, den, block_bytes, scratch)
     joined = placed.select("node", "h1", "h2", "rep").join(parts, "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.stage(joined.join(least, "component").select("h1", "h2", "component_id"), "ngram-components")
