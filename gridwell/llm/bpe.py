@@ -5,13 +5,17 @@ and each pair of tokens whose bytes join to a third one is a merge at the third
 worker and remembered, as a text splits safely before each space that follows a character other than white space (no match
 of the pattern runs over such a place). The memory of words is bounded (common.Memory).
 
-Decoding looks ids up in the table of token bytes and joins the bytes; tokens that split a character need nothing
+Ranks and merges differ in one thing: of several pairs that join to one token, ranks merge the leftmost first, while a merge list has an order of its own
+among them. Such a tie needs a token of three bytes or more at two places of a word, so words in which no three bytes occur twice are the
+library's; the others are split by the library and merged here, by rank and place (merge_by_rank).
+
+Decoding reverses the byte table: each token's characters become its bytes, and the bytes are joined; tokens that split a character need nothing
 further, as characters are only formed from the joined bytes. offsets() gives each token's place in characters.
 
 No row leaves its partition: there is no shuffle, and lost tasks are run anew from the input.
 
 Cases: a null or empty text has no ids and decodes to no bytes. Null and repeated document ids pass through. Very long
-texts are one row each. A text may hold the strings of special tokens; they are ordinary text. Columns other than the id
+texts are one row each. A text may hold the strings of special tokens; they are ordinary text. Ties: see above. Columns other than the id
 and the text are not read.
 """
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import itertools
 import re
 
@@ -62,33 +67,76 @@ def rank_tokenizer(ranks: dict[bytes, int], pattern: str):
     return tok
 
 
+def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: of all neighbours, those whose join has the smallest rank merge, the leftmost first, until no join is a token."""
+    n = len(piece)
+    stop, before = list(range(1, n + 1)), list(range(-1, n))
+    whole = [True] * n
+
+    def pair(i: int):
+        """The join of the parts that start at i and after it."""
+        j = stop[i]
+        if j < n and (rank := ranks.get(piece[i : stop[j]])) is not None:
+            yield rank, i, stop[j]
+
+    heap = [x for i in range(n) for x in pair(i)]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        if not whole[i] or (j := stop[i]) >= n or stop[j] != end:
+            continue
+        whole[j], stop[i] = False, end
+        before[end] = i
+        for k in (i, before[i]):
+            if k >= 0:
+                for x in pair(k):
+                    heapq.heappush(heap, x)
+    return [ranks[piece[i : stop[i]]] for i in range(n) if whole[i]]
+
+
+#: Words of more bytes are taken to have three bytes twice.
+LONG_WORD = 1 << 12
+
+
+def may_tie(word: bytes) -> bool:
+    """Whether some three bytes occur twice."""
+    return len(word) > 3 and (len(word) > LONG_WORD or len({word[i : i + 3] for i in range(len(word) - 2)}) < len(word) - 2)
+
+
 class ByteCodec:
     """Encodes and decodes by one rank file. Ids are kept as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, pattern: str):
-        import tiktoken
-
         self.ranks = read_ranks(path)
         self.tokenizer = rank_tokenizer(self.ranks, pattern)
-        # two splits of one token that overlap in a text may merge in another order; each new word is held against this
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.byte_of = {c: b for b, c in enumerate(byte_characters())}
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes[rank] = token
+        for name, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[rank] = self._raw(name)
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         self.memo = Memory(MEMO_WORDS)
 
+    def _raw(self, name: str) -> bytes:
+        return bytes(map(self.byte_of.__getitem__, name))
+
+    def _tied(self, word: str) -> list[int]:
+        ids = []
+        for name, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word):
+            piece = self._raw(name)
+            ids += [self.ranks[piece]] if piece in self.ranks else merge_by_rank(piece, self.ranks)
+        return ids
+
     def _encode(self, words: list[str]) -> list[bytes]:
         """Words by themselves, some thousands a call, as the library's results are large."""
-        out, exact = [], self.exact.encode_ordinary
+        out = []
         for k in range(0, len(words), 4000):
             chunk = words[k : k + 4000]
-            coded = self.tokenizer.encode(chunk, is_pretokenized=True, add_special_tokens=False)
-            ids = coded.ids
-            data = np.array(ids, "<u4").tobytes()
+            tied = [may_tie(w.encode()) for w in chunk]
+            coded = self.tokenizer.encode(["" if t else w for w, t in zip(chunk, tied, strict=True)], is_pretokenized=True, add_special_tokens=False)
+            data = np.array(coded.ids, "<u4").tobytes()
             cuts = np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(chunk) + 1)).tolist()
-            for word, a, b in zip(chunk, cuts, cuts[1:]):
-                true = exact(word)
-                out.append(data[4 * a : 4 * b] if true == ids[a:b] else np.array(true, "<u4").tobytes())
+            for word, t, a, b in zip(chunk, tied, cuts, cuts[1:]):
+                out.append(np.array(self._tied(word), "<u4").tobytes() if t else data[4 * a : 4 * b])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -110,13 +158,17 @@ class ByteCodec:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def offsets(self, ids: bytes) -> list[tuple[int, int]]:
-        """(start, end) of each token in characters; a token that holds a part of a character counts it whole."""
+    def offsets(self, ids: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        """(start of each token, its end, how many tokens begin or end inside a character), in characters; a token that holds a part of a character counts
+        it whole."""
         raw = np.frombuffer(self.decode(ids), np.uint8)
-        lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        ends = np.cumsum([len(self.bytes[i]) for i in np.frombuffer(ids, "<u4").tolist()], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return [(int(lead[s + 1]) - 1, int(lead[e])) for s, e in zip(starts, ends, strict=True)]
+        ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+        starts = np.concatenate([ends[:0], [0], ends[:-1]])[: len(ends)]
+        if not len(raw) or raw.max() < 128:
+            return starts, ends, 0
+        inside = np.concatenate([(raw & 0xC0) == 0x80, [False]])
+        lead = np.concatenate([[0], np.cumsum(~inside[:-1])])
+        return lead[starts + 1] - 1, lead[ends], int((inside[starts] | inside[ends]).sum())
 
 
 @functools.cache
@@ -144,7 +196,7 @@ def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
                 cols = [key, pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary())]
                 if with_offsets:
                     at = [own.offsets(x) for x in coded]
-                    cols += [pa.array([[p[k] for p in x] for x in at], pa.list_(pa.int32())) for k in (0, 1)]
+                    cols += [pa.array([x[k].tolist() for x in at], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "starts", "ends"][: len(cols)])
 
     return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -163,8 +215,9 @@ def decode(coded: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def round_trip(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass, without sending the ids between processes."""
-    schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    """id, n_tokens, ids_sha256, decoded_sha256, n_split (tokens that begin or end inside a character) and offsets_sha256 (of all starts, then all ends, as
+    ids are): encode and decode in one pass, without sending the ids between processes."""
+    schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_sha256 string"
 
     def run(batches):
         own = codec(path, pattern)
@@ -172,6 +225,11 @@ def round_trip(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             for key, texts in _texts(batch):
                 coded = own.encode(texts)
-                yield pa.RecordBatch.from_arrays([key, pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([digest(x) for x in coded]), pa.array([digest(own.decode(x)) for x in coded])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at = [own.offsets(x) for x in coded]
+                yield pa.RecordBatch.from_arrays(
+                    [key, pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([digest(x) for x in coded]), pa.array([digest(own.decode(x)) for x in coded]),
+                     pa.array([x[2] for x in at], pa.int64()), pa.array([digest(x[0].astype("<u4").tobytes() + x[1].astype("<u4").tobytes()) for x in at])],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "offsets_sha256"],
+                )
 
     return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
