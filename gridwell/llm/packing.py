@@ -4,19 +4,22 @@
    partition, are written to the shared folder.
 2. The tokens of each (partition, source) are summed - one row per partition and source, not per document - and prefix
    sums over the partitions give each source's line its global places.
-3. The lines are cut at the same share of every source into regions of about REGION_WINDOWS windows, so each region holds
-   every source in the target proportion (what the cut rounds off goes in as the region's starting deficit). A hot source
-   is cut like the others: its documents spread over all regions.
+3. Target proportions (mixture) name sources and their shares of all tokens; sources without a name share the rest in proportion to their tokens. With no
+   mixture all do. As every id is packed, a source that runs out early leaves its share to the others, in proportion to theirs (phases). The lines
+   are cut into regions of about REGION_WINDOWS windows so that each region holds what the targets ask of each source there (what the cut rounds off
+   goes in as the region's starting deficit). A hot source is cut like the others: its documents spread over all regions.
 4. Each region is filled window by window. At every window each source's deficit grows by its share of the window; the
    source with the largest deficit sends from the head of its queue, LEAST_PIECE ids or what its deficit allows if that is more, until the window is full. What a source
    sent too much or too little stays in its deficit for the next window.
-5. The ids left at a region's end fill sequences of falling powers of two, which need no padding.
+5. The ids left at a region's end, less than a window, meet those of other regions: the rests of REGION_WINDOWS regions are a region of the next level, and
+   so on. Only the last level's last ids, less than a window in the whole corpus, fill sequences of falling powers of two, which need no padding.
 
 A region has a fixed number of tokens, so a task's memory does not grow with the input. Ids keep 2 bytes when the
 vocabulary allows, else 4.
 
-Cases: a null or empty text is a document of the end id alone. Null sources are a queue of their own. Null and
-repeated document ids pass through; each row is packed by itself. A document may lie in many sequences and regions. An
+Cases: a null or empty text is a document of the end id alone. Null sources are a queue of their own, which a mixture names by None. Null and
+repeated document ids pass through; each row is packed by itself. A document may lie in many sequences and regions. Very long texts are cut like others.
+Ties of deficits go to the source that came first in its region. A mixture's sources that the corpus lacks are left out. An
 empty table gives no pieces. Columns other than id, text and source are not read.
 """
 
@@ -26,15 +29,16 @@ import functools
 import json
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import Memory, maybe_broadcast, staged
+from .common import Memory, Scratch, maybe_broadcast
 
 WINDOW = 4096
 REGION_WINDOWS = 128
@@ -51,8 +55,8 @@ _PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[
 
 
 class FileTokenizer:
-    """A tokenizers file whose tokens never hold white space. Words are encoded once and remembered, and so are the parts that the
-    file's own pattern splits new words into; each memory is bounded."""
+    """A tokenizers file. If its pre-tokenizer drops white space, words are encoded once and remembered, and so are the parts that the
+    file's own pattern splits new words into; each memory is bounded. Texts are encoded whole by any other file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,6 +65,8 @@ class FileTokenizer:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         text = self.tokenizer.to_str()
         self.plain = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in text and "Lowercase" in text
+        kind = (json.loads(text).get("pre_tokenizer") or {}).get("type")
+        self.spaced = self.plain or kind in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer")
         # the same model for parts that are in lower case and split already: without normaliser and pattern
         self.bare = self.tokenizer
         if self.plain:
@@ -117,7 +123,7 @@ class FileTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words_ = self.words
-        split = [None if any(c in text for c in _ODD_SPACE) else self._fold(text).split() for text in texts]
+        split = [None if not self.spaced or any(c in text for c in _ODD_SPACE) else self._fold(text).split() for text in texts]
         wanted = set().union(*(w for w in split if w)).difference(words_)
         if words_.full(len(wanted)):
             wanted = set().union(*(w for w in split if w))
@@ -160,13 +166,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
     return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text", f"cast(`{source_col}` as string) as source").mapInArrow(run, schema)
 
 
-def fill(queues: dict, deficits: dict, shares: dict, window: int, least: int):
-    """Deficit round-robin over one region. queues: per source a list of [document, first id, ids]; yields (document, first, ids, sequence, offset)."""
+def fill(queues: dict, deficits: dict, shares: dict, window: int, least: int, last: bool = True):
+    """Deficit round-robin over one region. queues: per source a list of [document, first id, ids]; yields (document, first, ids, sequence, offset).
+    What is left in the end, less than a window, fills sequences of powers of two if last; else it comes with sequence -1."""
     heads = {s: 0 for s in queues}
     left = sum(n for q in queues.values() for _, _, n in q)
     live = {s: deficits.get(s, 0.0) for s, q in queues.items() if q}
     sequence = 0
-    while left:
+    while left >= window or left and last:
         size = window if left >= window else 1 << (left.bit_length() - 1)
         for s in live:
             live[s] += shares[s] * size
@@ -186,62 +193,133 @@ def fill(queues: dict, deficits: dict, shares: dict, window: int, least: int):
                     del live[s]
         left -= size
         sequence += 1
-
-
-def pack(docs: DataFrame, *, path: str, end_id: int, window: int = WINDOW, region_windows: int = REGION_WINDOWS, least: int = LEAST_PIECE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a piece: id, start, length, doc_tokens, sequence_id, offset, sequence_length, ids (binary), width, source, ids_crc32."""
-    tokens = staged(tokenize(docs, path, end_id, id_col, text_col, source_col), "pack-tokens", compression="zstd")
+    for s in live:
+        for document, first, n in queues[s][heads[s] :]:
+            yield document, first, n, -1, 0
+
+
+def phases(shares: dict, totals: dict) -> dict:
+    """Per group of sources the pieces of its course, each (share of the corpus that was packed before, share of the group's own line packed before, slope):
+    groups go out in proportion to their shares, and the shares of those that have run out fall to the others."""
+    whole = sum(totals.values())
+    out: dict = {g: [] for g in totals}
+    done, at = dict.fromkeys(totals, 0.0), 0.0
+    live = {g for g, n in totals.items() if n > 0}
+    while live:
+        rate = {g: shares[g] / sum(shares[x] for x in live) for g in live}
+        # tokens of the corpus until the next group runs out
+        step = min((totals[g] - done[g]) / rate[g] for g in live)
+        ended = {g for g in live if (totals[g] - done[g]) / rate[g] <= step * (1 + 1e-12) + 1e-9}
+        for g in live:
+            out[g].append((at / whole, done[g] / totals[g], rate[g] * whole / totals[g]))
+            done[g] = totals[g] if g in ended else done[g] + rate[g] * step
+        at += step
+        live -= ended
+    return out
+
+
+def _course(pieces: list[tuple], x: Column) -> Column:
+    """Share of a line that is packed when the share x of the corpus is."""
+    out = F.lit(0.0)
+    for k, (x0, f0, slope) in enumerate(pieces):
+        most = pieces[k + 1][1] if k + 1 < len(pieces) else 1.0
+        out = F.when(x >= x0, F.least(f0 + (x - x0) * slope, F.lit(most))).otherwise(out)
+    return F.when(x >= 1, F.lit(1.0)).otherwise(out)
+
+
+def _moment(pieces: list[tuple], f: Column) -> Column:
+    """The share of the corpus that is packed when the share f of a line is."""
+    out = F.lit(0.0)
+    for x0, f0, slope in pieces:
+        out = F.when(f >= f0, x0 + (f - f0) / slope).otherwise(out)
+    return F.least(out, F.lit(1.0))
+
+
+def pack(docs: DataFrame, *, path: str, end_id: int, window: int = WINDOW, region_windows: int = REGION_WINDOWS, least: int = LEAST_PIECE, mixture: dict[str | None, float] | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row a piece: id, start, length, doc_tokens, sequence_id, offset, sequence_length, width, source, ids_crc32, ids (binary; null without with_ids)."""
+    if mixture is not None and (any(not v > 0 for v in mixture.values()) or sum(mixture.values()) > 1 + 1e-9):
+        raise ValueError("a mixture has positive shares of at most 1 in all")
+    scratch = Scratch(docs.sparkSession)
+    tokens = scratch.stage(tokenize(docs, path, end_id, id_col, text_col, source_col), "pack-tokens", compression="zstd")
     parts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
     line = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     lines = parts.withColumn("line_start", F.coalesce(F.sum("n").over(line), F.lit(0))).withColumn("line", F.sum("n").over(Window.partitionBy("source")))
-    lines = staged(lines.select("part", F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "line_start", "line", "n"), "pack-lines")
-    total = lines.agg(F.sum("n")).first()[0] or 0
-    regions = max(1, -(-total // (window * region_windows)))
-    # region r holds places [floor(line * r / regions), floor(line * (r + 1) / regions)) of each line
-    first = "cast(floor((cast(a as decimal(38,0)) * {0} + {0} - 1) / line) as long)".format(regions)
+    lines = scratch.stage(lines.select("part", F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "line_start", "line", "n"), "pack-lines")
+    counts = lines.agg(F.sum("n").alias("total"), F.count_distinct("key", "none").alias("sources")).first()
+    total, regions = counts.total or 0, max(1, -(-(counts.total or 0) // (window * region_windows)))
+    # groups of the course: each named source, and all others together (its number is that of the names)
+    named = list(mixture or {})
+    group = F.lit(len(named))
+    for i, s in enumerate(named):
+        group = F.when(F.col("none") if s is None else ~F.col("none") & (F.col("key") == s), i).otherwise(group)
+    totals = {r.g: r.n for r in lines.groupBy(group.alias("g")).agg(F.sum("n").alias("n")).collect()}
+    rest = max(0.0, 1 - sum(mixture.values())) if mixture else 1.0
+    shares = {g: mixture[named[g]] if g < len(named) else rest or 1e-9 for g in totals}
+    course = phases(shares, totals) if total else {}
+    by_group = lambda f: reduce(lambda out, g: F.when(F.col("group") == g, f(course[g])).otherwise(out), course, F.lit(0.0))
+    # region r holds places [floor(line * course(r / regions)), floor(line * course((r + 1) / regions))) of each line
+    bound = lambda r: F.floor(F.col("line").cast("double") * by_group(lambda p: _course(p, r.cast("double") / regions))).cast("long")
     placed = (
         tokens.withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
-        .join(maybe_broadcast(lines.drop("n"), 4 << 20), ["part", "key", "none"])
-        .withColumn("a", F.col("line_start") + F.col("local_start")).withColumn("b", F.col("a") + F.col("n"))
+        .join(maybe_broadcast(lines.drop("n"), 16 << 20), ["part", "key", "none"])
+        .withColumn("a", F.col("line_start") + F.col("local_start")).withColumn("b", F.col("a") + F.col("n")).withColumn("group", group)
     )
-    bound = lambda r: F.expr(f"cast(floor(cast(line as decimal(38,0)) * ({r}) / {regions}) as long)")
-    low = F.expr(f"greatest(0, {first} - 2)")
-    high = F.expr(f"least({regions - 1}, {first.replace('cast(a as', 'cast(b as')} + 1)")
+    near = lambda c: F.floor(by_group(lambda p: _moment(p, c / F.col("line"))) * regions)
+    low, high = F.greatest(F.lit(0), near(F.col("a") + 1) - 2).cast("long"), F.least(F.lit(regions - 1), near(F.col("b")) + 1).cast("long")
+    pieces = placed.withColumn("region", F.explode(F.sequence(low, high))).withColumn("from", bound(F.col("region"))).withColumn("to", bound(F.col("region") + 1))
+    ahead = F.col("line").cast("double") * by_group(lambda p: _course(p, F.col("region").cast("double") / regions))
     pieces = (
-        placed.withColumn("region", F.explode(F.sequence(low, high)))
-        .withColumn("p", F.greatest("a", bound("region"))).withColumn("q", F.least("b", bound("region + 1"))).where("p < q")
-        .withColumn("carry", F.expr(f"cast(line as double) * region / {regions}") - bound("region"))
-        .select("region", "id", "source", "line", "carry", "p", "part", "row", F.col("n").alias("doc_tokens"), (F.col("p") - F.col("a")).alias("start"), (F.col("q") - F.col("p")).alias("length"), "width", F.expr("substring(ids, cast(1 + width * (p - a) as int), cast(width * (q - p) as int))").alias("ids"))
+        pieces.withColumn("p", F.greatest("a", "from")).withColumn("q", F.least("b", "to")).where("p < q")
+        .select(
+            "region", "id", "source", (F.col("to") - F.col("from")).cast("double").alias("share"), (ahead - F.col("from")).alias("carry"), "p", "part", "row", F.col("n").alias("doc_tokens"), (F.col("p") - F.col("a")).alias("start"),
+            (F.col("q") - F.col("p")).alias("length"), "width", F.expr("substring(ids, cast(1 + width * (p - a) as int), cast(width * (q - p) as int))").alias("ids"),
+        )
     )
-    names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "width", "source", "ids_crc32", "ids"]
-    schema = f"id {dict(docs.dtypes)[id_col]}, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, width int, source string, ids_crc32 long, ids binary"
-    stride = region_windows * 2 + 64
-
-    def run(table: pa.Table) -> pa.Table:
-        file_tokenizer.cache_clear()  # the words that this worker has remembered are of no more use
-        order = pc.sort_indices(table, [(c, "ascending") for c in ("source", "p", "part", "row")]).to_numpy()
-        source, line, carry = (table.column(c).to_pylist() for c in ("source", "line", "carry"))
-        start, length, tokens_, width = (table.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "width"))
-        ids, region = table.column("ids").to_pylist(), table.column("region")[0].as_py()
-        queues: dict = {}
-        for k in order.tolist():
-            queues.setdefault(source[k], []).append([k, 0, length[k]])
-        lines_ = {source[k]: line[k] for k in order.tolist()}
-        carries = {source[k]: carry[k] for k in order.tolist()}
-        whole = sum(lines_.values())
-        out = [[] for _ in names]
-        sizes: dict = {}
-        rows = list(fill(queues, carries, {s: n / whole for s, n in lines_.items()}, window, least))
-        for _, _, n, sequence, _ in rows:
-            sizes[sequence] = sizes.get(sequence, 0) + n
-        for k, a, n, sequence, offset in rows:
-            w = width[k]
-            data = ids[k][w * a : w * (a + n)]
-            full = data if w == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()
-            for col, v in zip(out, (k, start[k] + a, n, tokens_[k], region * stride + sequence, offset, sizes[sequence], w, source[k], zlib.crc32(full), data), strict=True):
-                col.append(v)
-        cols = [table.column("id").take(pa.array(out[0], pa.int64()))]
-        kinds = [pa.int64()] * 6 + [pa.int32(), pa.string(), pa.int64(), pa.binary()]
-        return pa.Table.from_arrays(cols + [pa.array(v, t) for v, t in zip(out[1:], kinds, strict=True)], names=names)
-
-    return pieces.groupBy("region").applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "width", "source", "ids_crc32", "ids", "place"]
+    schema = f"id {dict(docs.dtypes)[id_col]}, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, width int, source string, ids_crc32 long, ids binary, place long"
+    stride = -(-(window * region_windows + counts.sources) // window) + 64
+
+    def filled(pieces: DataFrame, first: int, last: bool) -> DataFrame:
+        """Pieces of sequences, numbered from first, and unless last those of the rests, with sequence -1; place is their region and order there."""
+
+        def run(table: pa.Table) -> pa.Table:
+            file_tokenizer.cache_clear()  # the words that this worker has remembered are of no more use
+            order = pc.sort_indices(table, [(c, "ascending") for c in ("source", "p", "part", "row")]).to_numpy()
+            source, share, carry = (table.column(c).to_pylist() for c in ("source", "share", "carry"))
+            start, length, tokens_, width = (table.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "width"))
+            ids, region = table.column("ids").to_pylist(), table.column("region")[0].as_py()
+            queues: dict = {}
+            for k in order.tolist():
+                queues.setdefault(source[k], []).append([k, 0, length[k]])
+            held = {s: share[q[0][0]] or sum(n for _, _, n in q) for s, q in queues.items()}
+            out = [[] for _ in names]
+            sizes: dict = {}
+            rows = list(fill(queues, {s: carry[q[0][0]] for s, q in queues.items()}, {s: n / sum(held.values()) for s, n in held.items()}, window, least, last))
+            for _, _, n, sequence, _ in rows:
+                sizes[sequence] = sizes.get(sequence, 0) + n
+            for place, (k, a, n, sequence, offset) in enumerate(rows):
+                w, rest_ = width[k], sequence < 0
+                data = ids[k][w * a : w * (a + n)]
+                full = data if w == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()
+                number = -1 if rest_ else first + region * stride + sequence
+                for col, v in zip(out, (k, start[k] + a, n, tokens_[k], number, offset, sizes[sequence], w, source[k], zlib.crc32(full), data if with_ids or rest_ else None, region * (1 << 20) + place), strict=True):
+                    col.append(v)
+            cols = [table.column("id").take(pa.array(out[0], pa.int64()))]
+            kinds = [pa.int64()] * 6 + [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
+            return pa.Table.from_arrays(cols + [pa.array(v, t) for v, t in zip(out[1:], kinds, strict=True)], names=names)
+
+        return pieces.groupBy("region").applyInArrow(run, schema)
+
+    packed, first = [], 0
+    while True:
+        done = filled(pieces, first, regions == 1)
+        if regions == 1:
+            packed.append(done)
+            break
+        done = scratch.stage(done, "pack-level", compression="zstd")
+        packed.append(done.where("sequence_id >= 0"))
+        first, regions = first + regions * stride, -(-regions // region_windows)
+        pieces = done.where("sequence_id < 0").select(
+            F.floor(F.col("place") / (region_windows << 20)).cast("long").alias("region"), "id", "source", F.lit(0.0).alias("share"), F.lit(0.0).alias("carry"), F.col("place").alias("p"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("row"), "doc_tokens", "start", "length", "width", "ids",
+        )
+    return reduce(DataFrame.unionAll, packed).drop("place").withColumnRenamed("id", id_col)
