@@ -1,19 +1,20 @@
 """Language-model scores: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-Words fall into classes: each of the most frequent words is its own, all others share CLASSES by their last two bytes. The model
+Words fall into classes: each of the most frequent words is its own, all others share CLASSES by their last three bytes. The model
 predicts a token's class from the two classes before it: the predicted vector is R[c1] C1 + R[c2] C2, a class scores by its dot product
 with Q[class] plus a bias (Mnih and Hinton, 2007; trained as in Mnih and Teh, 2012). Within a class, words have add-one smoothed corpus
 frequencies with one place for unseen words, so that the token probabilities sum to 1 over words known and unknown.
 
 1. Counts. Tasks count words in memory, flush (word, count) and Spark sums: all training rows, no cap.
-2. Head. Words above a count that a histogram of counts gives, HEAD at most, are broadcast; the bound does not grow with the input.
+2. Head. Words of WORD_BYTES at most above a count that a histogram of counts gives, HEAD at most, are broadcast; the bound does not grow with the input.
 3. Training. Every training row is used once. In each of ROUNDS, every task trains a copy of the model on its rows of that round; copies are averaged by
    their number of tokens, FAN at a time.
-4. Scores. The softmax's normaliser depends on the two context classes alone; batched matrix products give it for all pairs. One pass
+4. Scores. The softmax's normaliser depends on the two context classes alone; tasks work it out for all pairs by batched matrix products. One pass
    adds up each row's class log-probabilities and its head words; the words that are not in the head leave as (row, word, frequency) and meet
    their counts in a join. So every word counts, whatever the vocabulary's size.
 
-Cases: a null or empty text is the end token alone. A null id trains (its text is empty) and stays null. Repeated rows each count. An
+Cases: a null or empty text is the end token alone. Very long texts and words of any length are handled like others. Ties: words of one count come in
+the order of their bytes. A null id trains (its text is empty) and stays null. Repeated rows each count. An
 empty table gives an empty result. With no training row, every count is 0. Columns other than the id and the text are not read.
 """
 
@@ -29,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import Scratch, slices
 
 HEAD = 1 << 17
-OWN = 255
-CLASSES = 256
+WORD_BYTES = 64
+OWN = 511
+CLASSES = 512
 DIM = 32
 ROUNDS = 3
 FAN = 64
@@ -47,7 +49,7 @@ BOS = C
 
 
 def suffix_class(word: bytes) -> int:
-    return OWN + 1 + zlib.crc32(word[-2:]) % CLASSES
+    return OWN + 1 + zlib.crc32(word[-3:]) % CLASSES
 
 
 def _documents(batch: pa.RecordBatch, k: int):
@@ -106,15 +108,16 @@ class Model:
             self.square[k] += d * d * n
             p[k] += rate * d * math.sqrt(n) / np.sqrt(self.square[k])
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(scores by the class before, scores by the class two before, bias, log normaliser of each pair)."""
-        m1, m2 = self.p["R"] @ self.p["C1"] @ self.p["Q"].T, self.p["R"] @ self.p["C2"] @ self.p["Q"].T
-        log_z = np.empty((C + 1, C + 1))
-        for c in range(C + 1):
-            s = m2 + (m1[c] + self.p["b"])
-            top = s.max(1)
-            log_z[c] = np.log(np.exp(s - top[:, None]).sum(1)) + top
-        return m1, m2, self.p["b"], log_z
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores by the class before, scores by the class two before, bias)."""
+        return self.p["R"] @ self.p["C1"] @ self.p["Q"].T, self.p["R"] @ self.p["C2"] @ self.p["Q"].T, self.p["b"]
+
+
+def log_normaliser(m1: np.ndarray, m2: np.ndarray, bias: np.ndarray, c: int) -> np.ndarray:
+    """Of the contexts with the class c before, one for each class two before."""
+    s = m2 + (m1[c] + bias)
+    top = s.max(1)
+    return np.log(np.exp(s - top[:, None]).sum(1)) + top
 
 
 def _contexts(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +188,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, k int, c long").where("c > 0").groupBy("word", "k").agg(F.sum("c").alias("c"))
 
 
-def average(copies: DataFrame) -> bytes | None:
+def average(copies: DataFrame, scratch: Scratch) -> bytes | None:
     """Weighted mean of the models of (part, weight, model), FAN at a time."""
 
     def mean(table: pa.Table) -> pa.Table:
@@ -194,7 +197,7 @@ def average(copies: DataFrame) -> bytes | None:
         return pa.table({"part": table.column("part").slice(0, 1), "weight": pa.array([weight.sum()]), "model": pa.array([(total / weight.sum()).tobytes()], pa.binary())})
 
     while (n := copies.count()) > FAN:
-        copies = staged(copies.withColumn("g", F.pmod("part", F.lit(-(-n // FAN)))).groupBy("g").applyInArrow(mean, "part long, weight double, model binary"), "lm-models")
+        copies = scratch.stage(copies.withColumn("g", F.pmod("part", F.lit(-(-n // FAN)))).groupBy("g").applyInArrow(mean, "part long, weight double, model binary"), "lm-models")
     rows = copies.collect()
     if not rows:
         return None
@@ -202,21 +205,25 @@ def average(copies: DataFrame) -> bytes | None:
     return (sum(r.weight * np.frombuffer(r.model, np.float64) for r in rows) / weight).tobytes()
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
-    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2, head: int = HEAD, rounds: int = ROUNDS, trained: list | None = None) -> DataFrame:
+    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). trained: takes the lexicon, the model, and
+    each class's tokens and words."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (key % folds == held_out_fold).alias("held_out"), key.alias("crc"))
     train = rows.where("not held_out")
-    counts = staged(word_counts(train), "lm-counts")
-    histogram = counts.groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
+    counts = scratch.stage(word_counts(train), "lm-counts")
+    short = F.octet_length("word") <= WORD_BYTES
+    histogram = counts.where(short).groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
     least, taken = 1 << 62, 0
     for r in histogram:
         taken += r.n
         if taken > head:
             break
         least = r.least
-    top = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).select("word", "c").collect()
+    in_head = short & (F.col("c") >= least) | (F.col("word") == F.lit(END))
+    top = counts.where(in_head).select("word", "c").collect()
     lexicon = Lexicon([bytes(r.word) for r in top], [r.c for r in top])
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, v_all = totals[0] or 0, totals[1]
@@ -258,10 +265,22 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([copy.dump()], pa.binary())], names=["part", "weight", "model"])
 
         part = train.where(F.floor(F.col("crc") / folds) % rounds == k).select("text")
-        mean = average(staged(part.mapInArrow(learn, "part long, weight double, model binary"), "lm-models"))
+        mean = average(scratch.stage(part.mapInArrow(learn, "part long, weight double, model binary"), "lm-models"), scratch)
         model = Model(unigram, mean or start)
 
-    tables = spark.sparkContext.broadcast((*model.tables(), np.log10(class_n + class_v + 1)))
+    if trained is not None:
+        trained += [lexicon, model, class_n, class_v]
+    m1, m2, bias = model.tables()
+    parts = spark.sparkContext.broadcast((m1, m2, bias))
+
+    def normalisers(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([log_normaliser(*parts.value, c).tobytes() for c in batch.column(0).to_pylist()], pa.binary())], names=["c", "z"])
+
+    log_z = np.empty((C + 1, C + 1))  # C is a constant: 8 MB
+    for r in spark.range(0, C + 1, 1, 32).selectExpr("id as c").mapInArrow(normalisers, "c long, z binary").collect():
+        log_z[r.c] = np.frombuffer(r.z)
+    tables = spark.sparkContext.broadcast((m1, m2, bias, log_z, np.log10(class_n + class_v + 1)))
     ln10 = math.log(10)
 
     def score(batches):
@@ -288,9 +307,11 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     schema = f"id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens long, known long, base double, model double, words array<binary>, times array<long>"
-    scored = staged(rows.select("id", "text", "held_out").mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores", compression="zstd")
+    scored = scratch.stage(rows.select("id", "text", "held_out").mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores", compression="zstd")
     tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
-    rest = tail.join(counts.where(F.col("c") < least).select("word", "c"), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
+    rest = tail.join(counts.where(~in_head).select("word", "c"), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
+    rest = scratch.stage(rest, "lm-tail")
+    scratch.release(scored, rest)
     out = scored.drop("words", "times").join(rest, "row", "left").withColumn("logs", F.coalesce("logs", F.lit(0.0)))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
