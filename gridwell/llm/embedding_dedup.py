@@ -3,18 +3,20 @@
 1. Equal vectors are one class (copies never meet each other); all later steps see one unit vector a class.
 2. The second-moment matrix of all unit vectors is summed by Spark (one row a matrix entry and task), and its eigenvectors turn the
    vectors so that leading dimensions carry most of the length.
-3. Vectors are ranged by the angle of their first coordinate into tiles of at most TILE rows. Two vectors' angles differ by no more than
+3. Vectors are ranged by the angle of their first coordinate into tiles. A tile's rows grow with the square root of all (SCALE times it), up to TILE_BYTES, so that
+   what pairs of tiles move grows with the power 1.5 of the vectors and not with their square. Two vectors' angles differ by no more than
    the angle between the vectors, so only tiles whose angle ranges come within acos(threshold) meet (found by a join on
    angle cells, not by a cross join).
-4. A pair of tiles accumulates LEAD dimensions at a time. After each step the rest of a product is at most the product of the suffix norms
-   (Cauchy-Schwarz); pairs that cannot reach the threshold any more drop out, and the tile stops when none is left.
+4. A pair of tiles is compared ROWS rows at a time, accumulating LEAD dimensions at a time. After each step the rest of a product is at most the product
+   of the suffix norms (Cauchy-Schwarz); columns in which no product can reach the threshold any more drop out, and the rows are done when none is left.
 5. A tile pair returns a row a class with links: how many vectors it links, and the smallest class that it reaches within the
    tiles - never the pairs themselves. Connected components over these rows give the groups.
 
-All sums are in double precision. Comparisons grow with the square of the classes where angles do not tell tiles apart; memory does not.
+All sums are in double precision. Comparisons grow with the square of the classes where angles do not tell tiles apart; memory does not. Batches of tile
+pairs are bounded by Arrow's bytes a batch.
 
 Cases: null and zero vectors and those with null or non-finite components link with nothing. Vectors of different length
-do not link. Null ids: a component's id is its smallest non-null one. Repeated rows count as vectors of their own. An empty table
+do not link. Ties: a product equal to the threshold links. Null ids: a component's id is its smallest non-null one. Repeated rows count as vectors of their own. An empty table
 gives an empty result. Columns other than the id and the vector are not read.
 """
 
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import Scratch, connected_components
 
-TILE = 1024
-LEAD = 16
+#: Rows of a tile: SCALE times the square root of all classes, 256 at least and TILE_BYTES at most.
+SCALE, TILE_BYTES = 32, 16 << 20
+LEAD, ROWS = 16, 128
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -49,33 +52,34 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray]:
     """(rows of a, rows of b) of products >= threshold; the columns come in falling order of variance."""
-    dims = a.shape[1]
-    rest = lambda x, k: np.sqrt((x[:, k:] ** 2).sum(1))
-    part = a[:, :lead] @ b[:, :lead].T
-    slack = 1e-12
-    i, j = np.nonzero(part + np.outer(rest(a, lead), rest(b, lead)) >= threshold - slack)
-    if len(i) * 4 > part.size:  # most are left: the whole product is cheaper than its survivors
-        i, j = np.nonzero(a @ b.T >= threshold)
-        return i, j
-    value, k = part[i, j], lead
-    while k < dims and len(i):
-        value = value + np.einsum("nd,nd->n", a[i, k : k + lead], b[j, k : k + lead])
-        k += lead
-        keep = value + rest(a, k)[i] * rest(b, k)[j] >= threshold - slack if k < dims else value >= threshold
-        i, j, value = i[keep], j[keep], value[keep]
-    if dims <= lead:
-        keep = value >= threshold
-        i, j = i[keep], j[keep]
-    return i, j
-
-
-def embedding_groups(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = TILE) -> DataFrame:
+    dims, slack = a.shape[1], 1e-12
+    steps = [*range(lead, dims, lead), dims]
+    rest = [{k: np.sqrt((x[:, k:] ** 2).sum(1)) for k in steps} for x in (a, b)]
+    found: list[tuple] = []
+    for r in range(0, len(a), ROWS):
+        rows = slice(r, r + ROWS)
+        cols, value, done = np.arange(len(b)), np.zeros((len(a[rows]), len(b))), 0
+        for k in steps:
+            value += a[rows, done:k] @ b[cols, done:k].T
+            done = k
+            live = (value + np.outer(rest[0][k][rows], rest[1][k][cols]) >= threshold - slack).any(0)
+            if not live.all():
+                cols, value = cols[live], value[:, live]
+            if not len(cols):
+                break
+        i, j = np.nonzero(value >= threshold)
+        found.append((i + r, cols[j]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def embedding_groups(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile: int | None = None) -> DataFrame:
     """One row a vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
     id_type = dict(vectors.dtypes)[id_col]
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    classes = staged(rows.where(fine).groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "embedding-classes")
+    classes = scratch.stage(rows.where(fine).groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "embedding-classes")
 
     def unit(column: pa.Array) -> np.ndarray:
         v = np.array(column.to_pylist(), np.float64)
@@ -113,6 +117,7 @@ def embedding_groups(vectors: DataFrame, *, threshold: float = 0.9, id_col: str
                 )
 
     count = classes.count()
+    tile = tile or max(256, min(int(SCALE * math.sqrt(count)), TILE_BYTES // (8 * max(bases, default=1))))
     tiles = max(1, -(-count // tile))
     ranged = classes.select("node", "copies", "v").mapInArrow(turned, "node long, copies long, n int, angle double, y binary").repartitionByRange(tiles, "n", "angle")
 
@@ -135,12 +140,12 @@ def embedding_groups(vectors: DataFrame, *, threshold: float = 0.9, id_col: str
         )
 
     ordered = ranged.sortWithinPartitions("n", "angle")
-    table = staged(ordered.mapInArrow(blocks, "n int, low double, high double, nodes binary, copies binary, y binary").withColumn("block", F.monotonically_increasing_id()), "embedding-blocks")
+    table = scratch.stage(ordered.mapInArrow(blocks, "n int, low double, high double, nodes binary, copies binary, y binary").withColumn("block", F.monotonically_increasing_id()), "embedding-blocks")
     width = math.acos(threshold) + 1e-9
     cells = table.select("n", "block", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width) + 1)).alias("cell"))
     left, right = (cells.select("n", F.col("block").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"), "cell") for x in "ab")
     meet = left.join(right, ["n", "cell"]).where((F.col("a") <= F.col("b")) & (F.col("a_low") - width <= F.col("b_high")) & (F.col("b_low") - width <= F.col("a_high"))).select("n", "a", "b").distinct()
-    meet = staged(meet, "embedding-meet")
+    meet = scratch.stage(meet, "embedding-meet")
     side = lambda x: table.select(F.col("block").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("nodes", "copies", "y")])
     work = meet.join(side("a"), "a").join(side("b"), "b").select("n", "a", "b", "a_nodes", "a_copies", "a_y", "b_nodes", "b_copies", "b_y")
 
@@ -163,13 +168,14 @@ def embedding_groups(vectors: DataFrame, *, threshold: float = 0.9, id_col: str
                 has = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(links[has]), pa.array(ids[label[back[has]]])], names=["node", "links", "least"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(64, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
-    linked = staged(work.mapInArrow(compare, "node long, links long, least long"), "embedding-links")
-    parts = connected_components(linked.select(F.col("node").alias("src"), F.col("least").alias("dst")))
+    linked = scratch.stage(work.mapInArrow(compare, "node long, links long, least long"), "embedding-links")
+    parts = connected_components(linked.select(F.col("node").alias("src"), F.col("least").alias("dst")), scratch)
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
     joined = classes.select("node", "rep", "v", "copies").join(degree, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = joined.join(least, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    named = scratch.stage(named, "embedding-groups")
+    scratch.release(named)
     out = rows.withColumn("key", F.when(fine, F.col("v"))).join(named.withColumnRenamed("v", "key"), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).cast(id_type)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
