@@ -5,7 +5,8 @@ suffix of its address, and its host.
 
 1. Every declared language takes part, however many there are. The trigram model is fitted to a sample of rows, chosen by a hash of the id in
    each language apart: the share that makes about sample_rows rows in all, but at least about least_rows rows of the language, or all it has.
-2. One pass gives every row the log-likelihood of each language. Trigrams overlap, so the sum counts as if EFFECTIVE of them were independent.
+2. One pass gives every row the log-likelihood of each language. Trigrams overlap, so the sum counts as if effective of them were independent: a long text
+   weighs as much as that many trigrams against the other evidence, of the share that its own trigrams have.
 3. Grouped aggregations over all rows count the text's language by declared language, by suffix and by host. The host's prior is
    smoothed towards the suffix's, which is smoothed towards the whole corpus's: (n + weight * parent) / (total + weight). How often a language
    is declared as another one is estimated likewise. The counts are kept sparse. A hot host is one row after Spark's partial sums.
@@ -58,7 +59,7 @@ def trigrams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (code >> np.uint32(18)).astype(np.int64), doc[:-2][use]
 
 
-def likelihoods(data: np.ndarray, ends: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likelihoods(data: np.ndarray, ends: np.ndarray, model: np.ndarray, effective: float = EFFECTIVE) -> tuple[np.ndarray, np.ndarray]:
     """(trigrams a document, log-likelihoods as documents x languages); model is log probabilities as buckets x languages."""
     bucket, doc = trigrams(data, ends)
     n = np.bincount(doc, minlength=len(ends))
@@ -68,7 +69,7 @@ def likelihoods(data: np.ndarray, ends: np.ndarray, model: np.ndarray) -> tuple[
         pair, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
         at = np.searchsorted(pair, np.arange(len(ends) + 1) * BUCKETS)
         sums = np.stack([times[i:j] @ model[pair[i:j] % BUCKETS] for i, j in zip(at[:-1], at[1:], strict=True)])
-    return n, sums * (np.minimum(n, EFFECTIVE) / np.maximum(n, 1))[:, None]
+    return n, sums * (np.minimum(n, effective) / np.maximum(n, 1))[:, None]
 
 
 def _spread(column: pa.Array, first: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ def _spread(column: pa.Array, first: int, width: int) -> tuple[np.ndarray, np.nd
     return rows[use], lang[use], inner.field("count").to_numpy(zero_copy_only=False)[use].astype(float)
 
 
-def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str | None = "source", suffix_col: str | None = None, sample_rows: int = 20_000, least_rows: int = 200, least: float = 0.5, weight: float = 20.0, block: int = BLOCK) -> DataFrame:
+def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str | None = "source", suffix_col: str | None = None, sample_rows: int = 20_000, least_rows: int = 200, least: float = 0.5, weight: float = 20.0, effective: float = EFFECTIVE, block: int = BLOCK) -> DataFrame:
     """One row a document: id, language, confidence, text_language, n_trigrams, rejected."""
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)[id_col]
@@ -128,7 +129,7 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         def run(batches):
             for batch in batches:
                 for row, data, ends in text_slices(batch.column(1)):
-                    n, sums = likelihoods(data, ends, model.value)
+                    n, sums = likelihoods(data, ends, model.value, effective)
                     part = batch.slice(row, len(ends))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), pa.array(n), pa.array(sums.max(1)), pa.array((sums.argmax(1) + first).astype(np.int32))], names=["row", "declared", "host", "suffix", "n", "top", "best"])
 
@@ -167,7 +168,7 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             prior, spoken = (x[first : first + width] for x in shared.value)
             for batch in batches:
                 for row, data, ends in text_slices(batch.column(2)):
-                    n, sums = likelihoods(data, ends, model.value)
+                    n, sums = likelihoods(data, ends, model.value, effective)
                     part = batch.slice(row, len(ends))
                     odds = np.tile(prior, (len(ends), 1))
                     for lists, all_ in ((part.column(5), part.column(8)), (part.column(4), part.column(7))):

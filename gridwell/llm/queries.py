@@ -28,7 +28,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), path=public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("ids", "width")
+    return pack(documents(spark, sf_dir), path=public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False).drop("ids", "width")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
