@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 
 from gridwell.llm import bpe
 from gridwell.llm.common import connected_components
@@ -17,7 +19,7 @@ from gridwell.llm.embedding_dedup import embedding_groups
 from gridwell.llm.exact_dedup import exact_dedup
 from gridwell.llm.language_id import language_id, page_evidence
 from gridwell.llm.license_scan import license_scan
-from gridwell.llm.lm_score import C, Model, lm_scores
+from gridwell.llm.lm_score import BOS, C, OWN, Model, lm_scores, log_normaliser, suffix_class
 from gridwell.llm.ngram_join import Frequent, gram_sets, ngram_jaccard_groups, occurring, parities, possible_links, prefixes, similar_links
 from gridwell.llm.packing import FileTokenizer, fill, pack
 from gridwell.llm.quality import quality_scores
@@ -117,8 +119,14 @@ def test_license_passage_with_an_inserted_word(spark):
     assert got.labels == "mit" and got.base_labels == "" and 0.8 <= got.score < 1
 
 
-def test_byte_bpe(docs, rows, empty):
-    exact = bpe.codec(RANKS, P.PATTERN).exact
+@pytest.fixture(scope="module")
+def exact():
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+def test_byte_bpe(docs, rows, empty, exact):
     got = bpe.encode(docs, path=RANKS, pattern=P.PATTERN, with_offsets=True).collect()
     want = Counter((r[0], tuple(exact.encode_ordinary(r[1] or ""))) for r in rows)
     assert Counter((g.doc_id, tuple(np.frombuffer(g.ids, "<u4").tolist())) for g in got) == want
@@ -132,15 +140,44 @@ def test_byte_bpe(docs, rows, empty):
     back = bpe.decode(bpe.encode(docs, path=RANKS, pattern=P.PATTERN), path=RANKS, pattern=P.PATTERN).collect()
     assert Counter((b.doc_id, bytes(b.data)) for b in back) == Counter((r[0], (r[1] or "").encode()) for r in rows)
     digests = bpe.round_trip(docs, path=RANKS, pattern=P.PATTERN).collect()
-    assert Counter((d.doc_id, d.decoded_sha256) for d in digests) == Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+    u4 = lambda x: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()
+    want = Counter((r[0], u4(exact.encode_ordinary(r[1] or "")), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+    assert Counter((d.doc_id, d.ids_sha256, d.decoded_sha256) for d in digests) == want
+    by_text = {d.decoded_sha256: d for d in digests}
+    for r in rows:  # offsets by brute force
+        data, at, starts, ends, split = (r[1] or "").encode(), 0, [], [], 0
+        for i in exact.encode_ordinary(r[1] or ""):
+            a, b = at, at + len(exact.decode_single_token_bytes(i))
+            cut = [k for k in (a, b) if k < len(data) and data[k] & 0xC0 == 0x80]
+            split += bool(cut)
+            starts.append(sum(c & 0xC0 != 0x80 for c in data[: a + 1]) - 1)
+            ends.append(sum(c & 0xC0 != 0x80 for c in data[:b]))
+            at = b
+            if len(data) > 3000:
+                break
+        if len(data) <= 3000:
+            d = by_text[hashlib.sha256(data).hexdigest()]
+            assert (d.n_split, d.offsets_sha256) == (split, u4(starts + ends))
     assert bpe.round_trip(empty, path=RANKS, pattern=P.PATTERN).collect() == []
 
 
-def test_byte_bpe_splits_safely():
+def test_byte_bpe_splits_safely(exact):
     own = bpe.codec(RANKS, P.PATTERN)
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("ab \n\t é😀'sll1.\x1c　") for _ in range(rnd.randrange(50))) for _ in range(1500)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [own.exact.encode_ordinary(t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [exact.encode_ordinary(t) for t in texts]
+
+
+def test_byte_bpe_ties(exact):
+    """Runs and repeats, in which several pairs of neighbours join to one token, and a very long word."""
+    own = bpe.codec(RANKS, P.PATTERN)
+    rnd = random.Random(3)
+    texts = [c * n for c in "a=-.tе中" for n in (*range(1, 40), 701)]
+    for _ in range(3000):
+        part = ["".join(rnd.choice("abcetnhисо") for _ in range(rnd.randint(1, 4))) for _ in range(3)]
+        texts.append("".join(rnd.choice(part) for _ in range(rnd.randint(2, 12))))
+    texts.append("".join(rnd.choice("etaoin") for _ in range(30_000)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [exact.encode_ordinary(t) for t in texts]
 
 
 def test_word_tokenizer_is_the_library():
@@ -176,9 +213,45 @@ def test_packing(docs, rows, empty):
             assert offset == at
             at += n
         assert at == 256 or at & (at - 1) == 0 and at < 256
+    short = sorted(sum(n for _, n in parts) for parts in sequences.values() if sum(n for _, n in parts) < 256)
+    assert len(short) == len(set(short)) and sum(short) == sum(g.length for g in got) % 256  # only the corpus's end
     assert pack(empty, path=WORDS, end_id=2).collect() == []
 
 
+def spoken(n, source, words, first=0):
+    """n documents of about words words."""
+    rnd = random.Random(n)
+    return [(first + i, " ".join(rnd.choice(["sun", "moon", "star", "sky"]) for _ in range(rnd.randint(words // 2, words * 3 // 2))), source) for i in range(n)]
+
+
+@pytest.mark.parametrize("mixture", [None, {"a": 0.5, None: 0.2}, {"a": 0.1, "b": 0.8, "none such": 0.1}])
+def test_packing_of_every_window_keeps_the_mixture(spark, mixture):
+    rows = spoken(300, "a", 60) + spoken(500, "b", 40, 1000) + spoken(200, None, 50, 2000)
+    random.Random(4).shuffle(rows)
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), path=WORDS, end_id=2, window=512, region_windows=4, least=16, mixture=mixture).collect()
+    have = Counter()
+    for g in got:
+        have[g.source] += g.length
+    assert sum(have.values()) == sum(len(r[1].split()) + 1 for r in rows)
+    whole = {s: n / sum(have.values()) for s, n in have.items()}
+    named = {s: v for s, v in (mixture or {}).items() if s in have}
+    rest = max(0.0, 1 - sum((mixture or {}).values())) if mixture else 1.0
+    others = sum(whole[s] for s in have if s not in named)
+    target = {s: named.get(s, max(rest, 1e-9) * whole[s] / others if s not in named else 0) for s in have}
+    target = {s: v / sum(target.values()) for s, v in target.items()}
+    lasts = min(have[s] / target[s] for s in have)  # ids until the first source runs out
+    windows = defaultdict(Counter)
+    for g in got:
+        if g.sequence_length == 512:
+            windows[g.sequence_id][g.source] += g.length
+    stride = -(-(512 * 4 + len(have)) // 512) + 64
+    first_level = [k for k in windows if (k // stride + 1) * 512 * 4 < lasts * 0.9]
+    assert len(first_level) > 15
+    for k in first_level:
+        for s in have:
+            assert abs(windows[k][s] - 512 * target[s]) <= 48, (k, s, windows[k], target)
+
+
 def test_packing_keeps_the_mixture():
     queues = {"a": [[k, 0, 700] for k in range(30)], "b": [[100 + k, 0, 300] for k in range(30)]}
     share = {"a": 0.7, "b": 0.3}
@@ -287,6 +360,11 @@ def test_possible_links_lose_none():
             found = possible_links(np.diff(at), parities(np.concatenate(sets), at), num, 100)
         part = brute_components(range(70), found)
         assert all(part[i] == part[j] for i in range(70) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= num * len(set(sets[i]) | set(sets[j])))
+        known = np.arange(70) % 9
+        with np.errstate(over="ignore"):
+            fewer = possible_links(np.diff(at), parities(np.concatenate(sets), at), num, 100, known)
+        again = brute_components(range(70), fewer + [(i, i % 9) for i in range(70)])
+        assert again == brute_components(range(70), found + [(i, i % 9) for i in range(70)]) and all(known[i] != known[j] for i, j in fewer)
 
 
 def test_frequent_values():
@@ -410,15 +488,40 @@ def test_embedding_groups(spark):
 
 
 @pytest.mark.parametrize("head", [1 << 17, 20])
-def test_lm_scores(docs, rows, empty, head):
-    got = lm_scores(docs, head=head).collect()
+def test_lm_scores(spark, rows, empty, head):
+    rows = [*rows, (70, "long " + "x" * 50_000 + " word", "en", "a", 1, *"cccccc"), (71, "x" * 50_000, "en", "a", 1, *"cccccc")]
+    trained: list = []
+    got = lm_scores(spark.createDataFrame(rows, SCHEMA), head=head, trained=trained).collect()
     train = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2
     words = [((r[1] or "").encode().lower().split() + [b" "]) for r in rows]
     count = Counter(w for r, ws in zip(rows, words) if train(r[0]) for w in ws)
     n, v = sum(count.values()), len(count)
     want = Counter((r[0], not train(r[0]), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 6)) for r, ws in zip(rows, words))
     assert Counter((g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 6)) for g in got) == want
-    assert all(g.score < 0 for g in got)
+    # the model's score, worked out token by token
+    lexicon, model, class_n, class_v = trained
+    own = {w: c for w, c in zip(lexicon.index, lexicon.classes.tolist()) if c <= OWN}
+    class_of = lambda w: own.get(w, suffix_class(w) if w != b" " else OWN)
+    p = {k: np.asarray(v) for k, v in model.p.items()}
+
+    def token(c1, c2, w):
+        c = class_of(w)
+        s = p["Q"] @ (p["R"][c1] @ p["C1"] + p["R"][c2] @ p["C2"]) + p["b"]
+        within = 1.0 if c <= OWN else (count[w] + 1) / (class_n[c] + class_v[c] + 1)
+        return math.log10(math.exp(s[c] - s.max()) / np.exp(s - s.max()).sum() * within)
+
+    scores = Counter()
+    for r, ws in zip(rows, words):
+        if len(ws) < 200:
+            classes = [BOS, BOS, *map(class_of, ws)]
+            scores[r[0], round(sum(token(classes[k + 1], classes[k], w) for k, w in enumerate(ws)), 5)] += 1
+    assert not scores - Counter((g.doc_id, round(g.score, 5)) for g in got)
+    # known words and one unknown word a class share the whole probability
+    total = Counter({c: 1.0 / (class_n[c] + class_v[c] + 1) for c in range(OWN + 1, C)})
+    for w in count:
+        if class_of(w) > OWN:
+            total[class_of(w)] += (count[w] + 1) / (class_n[class_of(w)] + class_v[class_of(w)] + 1)
+    assert all(abs(v - 1) < 1e-9 for v in total.values())
     if head == 20:
         assert lm_scores(empty).collect() == []
 
@@ -433,7 +536,8 @@ def test_lm_normalises_and_learns():
     c1, c2, w = classes[1:-1], classes[:-2], classes[2:]
     for a in range(0, 50_000, 1024):
         model.step(c1[a : a + 1024], c2[a : a + 1024], w[a : a + 1024])
-    m1, m2, b, z = model.tables()
+    m1, m2, b = model.tables()
+    z = np.stack([log_normaliser(m1, m2, b, c) for c in range(60)])
     probabilities = np.exp(m1[3] + m2[7] + b - z[3, 7])
     assert abs(probabilities.sum() - 1) < 1e-9
     c1, c2, w = c1[50_000:], c2[50_000:], w[50_000:]
@@ -588,3 +692,90 @@ def test_quality(spark, empty):
     assert sum(g.kept == truth[g.doc_id] for g in held) / len(held) > 0.97
     assert quality_scores(empty, marks).collect() == []
     assert {g.score for g in quality_scores(spark.createDataFrame(rows, SCHEMA), marks.where("false")).collect()} == {0.5}
+
+
+def brute_features(text, source, lang, chars):
+    """Text and metadata features of one document, character by character and word by word."""
+    kinds = {**{ord(c): 1 for c in "abcdefghijklmnopqrstuvwxyz"}, **{ord(c): 2 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{ord(c): 3 for c in "0123456789"}, 32: 4, 10: 5, **{ord(c): 6 + i for i, c in enumerate("!|*$%#&")}}
+    data = (text or "").encode()
+    a = [0.0] * (14 + 5 + 128)
+    for c in data:
+        a[13 if c > 127 else kinds.get(c, 0)] += 1 / len(data)
+    words = data.lower().split()
+    if words:
+        a[14], a[15] = len(set(words)) / len(words), max(Counter(words).values()) / len(words)
+        for w in words:
+            a[19 + (xxhash.xxh3_64_intdigest(w) >> 50) % 128] += 1 / len(words)
+    a[16], a[17], a[18] = len(data) / max(len(words), 1) / 10, math.log1p(len(data)) / 10, float(len(data) > 0)
+    b = [0.0] * (64 + 16 + 24)
+    slot = lambda v, m: zlib.crc32(b"\0" if v is None else v.encode()) % m
+    b[slot(source, 64)] = b[64 + slot(lang, 16)] = b[80 + min(23, max(chars or 0, 0).bit_length())] = 1.0
+    return np.array(a, "f4"), np.array(b, "f4")
+
+
+def brute_logistic(x, y, weight):
+    """Function that gives log-odds, by Newton's method on standardised columns with a ridge of 1 (0.001 on the intercept)."""
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge, w = np.diag([1.0] * x.shape[1] + [1e-3]), np.zeros(x.shape[1] + 1)
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ np.diag(weight * np.maximum(p * (1 - p), 1e-4)) @ z + ridge, z.T @ (weight * (y - p)) - ridge @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return lambda q: np.clip(np.column_stack([(q - mean) / scale, np.ones(len(q))]) @ w, -30, 30)
+
+
+def test_quality_against_brute_force(spark):
+    rnd = random.Random(13)
+    rows, labels = [], []
+    for i in range(260):
+        good = rnd.random() < 0.5
+        words = [rnd.choice(["river", "stone", "walks", "under", "quiet"] if good or rnd.random() < 0.3 else ["BUY", "now!!", "$$$", "click"]) for _ in range(rnd.randint(5, 40))]
+        rows.append((i, " ".join(words), rnd.choice(["en", "de", None]), ("calm" if good else "loud") if rnd.random() < 0.8 else None, rnd.choice([None, len(words), 7000])))
+        if i % 3 == 0:
+            labels.append((i, int(good)))
+    rows += [(300, None, None, None, None), (301, "", "en", "calm", 0), (302, "x " * 40_000, "en", "calm", 80_000), (None, "river BUY", "en", "loud", 9), (303, rows[1][1], *rows[1][2:])]
+    labels += [(0, 1 - labels[0][1]), (0, labels[0][1]), (0, labels[0][1])]
+    got = quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int"), sure=5, rounds=3).collect()
+    told = defaultdict(list)
+    for i, q in labels:
+        told[i].append(q)
+    f = [brute_features(t, s, la, c) for _, t, la, s, c in rows]
+    known = sorted((zlib.crc32(f[k][0].tobytes()), f[k][0].tobytes(), f[k][1].tobytes(), float(np.mean(told[r[0]]))) for k, r in enumerate(rows) if r[0] in told)
+    y = np.array([float(v >= 0.5) for *_, v in known])
+    views = [np.array([np.frombuffer(k[j], "f4") for k in known], float) for j in (1, 2)]
+    free = [k for k, r in enumerate(rows) if r[0] not in told]
+    pool = [np.array([f[k][j] for k in free], float) for j in (0, 1)]
+    fit = np.arange(len(y)) % 4 != 3
+
+    def train(taught):
+        out = []
+        for v, more in zip(views, taught):
+            x = np.concatenate([v[fit], *[m[:1] for m in more]])
+            out.append(brute_logistic(x, np.concatenate([y[fit], [m[1][0] for m in more]]), np.concatenate([np.ones(fit.sum()), np.full(len(more), 0.3)])))
+        return out
+
+    models = train([[], []])
+    for r in range(3):
+        taught = [[], []]
+        for k, model in enumerate(models):
+            odds = np.round(model(pool[k]), 6)
+            tie = [tuple(struct.unpack("<q", xxhash.xxh64_intdigest(v[i].astype("f4").tobytes(), 42).to_bytes(8, "little"))[0] for v in (pool[1 - k], pool[k])) for i in range(len(odds))]
+            for label, sign in ((1.0, 1), (0.0, -1)):
+                best = {}
+                for i in sorted(range(len(odds)), key=lambda i: (-odds[i] * sign, tie[i])):
+                    key = (pool[0][i].tobytes(), pool[1][i].tobytes())
+                    if odds[i] * sign > 2.2 and key not in best and len(best) < 5 * (r + 1):
+                        best[key] = i
+                taught[1 - k] += [np.array([pool[1 - k][i], np.full(pool[1 - k].shape[1], label)]) for i in best.values()]
+        models = train(taught)
+    odds = np.stack([m(v[~fit]) for m, v in zip(models, views)], 1)
+    both, each = brute_logistic(odds, y[~fit], np.ones((~fit).sum())), [brute_logistic(odds[:, k : k + 1], y[~fit], np.ones((~fit).sum())) for k in (0, 1)]
+    own = np.stack([m(np.array([x[j] for x in f], float)) for j, m in enumerate(models)], 1)
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    want = sorted(zip([str(r[0]) for r in rows], squash(both(own)), squash(each[0](own[:, :1])), squash(each[1](own[:, 1:]))))
+    have = sorted((str(g.doc_id), g.score, g.text_score, g.meta_score) for g in got)
+    assert [h[0] for h in have] == [w[0] for w in want]
+    assert np.abs(np.array([h[1:] for h in have]) - np.array([w[1:] for w in want])).max() < 1e-6
