@@ -1,6 +1,11 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 Every stage but the last returns the columns of documents; the last one returns the pieces of packed sequences.
+
+Cases: each row counts by itself, by a key that the stage gives it, so repeated rows, ids shared by different texts and null ids lose or keep the right rows. Null
+and empty texts have no language and go in the first stage; in the later ones equal ones are copies of each other in exact_dedup, stand alone in
+ngram_jaccard, and stay as they are in the others. Very long texts are one row each. Ties: of copies with one id one row stays. Further columns, whatever their
+names but _row_key, pass through all stages but the last. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwell.llm.common import maybe_broadcast, staged
+from gridwell.llm.common import Scratch, maybe_broadcast, staged
 from gridwell.llm.exact_dedup import exact_dedup
 from gridwell.llm.language_id import language_id
 from gridwell.llm.ngram_join import ngram_jaccard_groups
@@ -66,7 +71,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, path=public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("ids", "width")
+    return pack(docs, path=public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False).drop("ids", "width")
 
 
 STAGES = [
@@ -82,7 +87,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = scratch.stage(stage(spark, docs, sf_dir), name)
+        scratch.release(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
