@@ -11,6 +11,7 @@ names but _row_key, pass through all stages but the last. An empty table gives a
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,13 @@ REPEAT_BYTES = 200
 KEY = "_row_key"
 
 
-def with_key(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a key of its own for each row, written so that every later read sees the same keys."""
-    return staged(docs.withColumn(KEY, F.monotonically_increasing_id()), name, compression="zstd")
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row: its file and its place in it, which every later read gives again. A frame that is not read from files is written
+    first."""
+    try:
+        return docs.withColumn(KEY, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return with_key(staged(docs, "rows", compression="zstd"))
 
 
 def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
@@ -42,7 +47,7 @@ def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the language found is written to lang."""
-    rows = with_key(docs, "language-rows")
+    rows = with_key(docs)
     found = staged(language_id(rows, id_col=KEY).select(KEY, "language", "rejected"), "languages")
     kept = without(rows, found.where("rejected"), "rejected")
     changed = found.where("not rejected").join(rows.select(KEY, "lang"), KEY).where(~F.col("language").eqNullSafe(F.col("lang"))).select(KEY, "language")
@@ -52,14 +57,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays; of rows that share it, one. Null ids lose."""
-    rows = with_key(docs, "exact-rows")
+    rows = with_key(docs)
     marked = exact_dedup(rows.select(F.struct("doc_id", KEY).alias("id"), "text"), id_col="id")
     return without(rows, marked.where("not kept").select(f"id.{KEY}"), "exact-copies").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8: the row with the smallest id of each group stays; of rows that share it, one. Null ids lose."""
-    rows = with_key(docs, "near-rows")
+    rows = with_key(docs)
     groups = ngram_jaccard_groups(rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY).alias("id"), "text"), n=5, num=80, den=100, id_col="id")
     return without(rows, groups.where("id <> component_id").select(f"id.{KEY}"), "near-copies").select(*docs.columns)
 
