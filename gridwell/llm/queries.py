@@ -40,7 +40,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_repeats(documents(spark, sf_dir), length=400, passage=256).drop("starts", "ends")
+    return suffix_repeats(documents(spark, sf_dir), length=400, passage=300).drop("starts", "ends")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ BLOCK_BYTES = 1_500_000
 HOT = 4096
 TASK_BYTES = 6 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
+HEAD_BYTES = 5
 
 
 @functools.cache
@@ -113,67 +114,81 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, reach: int):
 
 
 def sorted_strings(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Circular suffixes of text in the order of their first length bytes at least, and the sorted first 8 bytes of each."""
+    """Circular suffixes of text in the order of their first length bytes at least, and the sorted first HEAD_BYTES bytes of each, as a number."""
     n = len(text)
+    bits = _U(n.bit_length())
+    place = np.arange(n, dtype=np.uint64)
+
+    def ordered(key: np.ndarray, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        if key_bits + int(bits) <= 64:  # sorting keys that hold their place is several times as fast
+            both = np.sort((key << bits) | place)
+            return (both & ((_U(1) << bits) - _U(1))).astype(np.int64), both >> bits
+        order = np.argsort(key)
+        return order, key[order]
+
     key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << _U(8)) | np.roll(text, -j).astype(np.uint64)
-    order = np.argsort(key)
-    head = key[order]
-    rank, done, group = np.empty(n, np.int64), 8, np.zeros(n, np.int64)
-    group[1:] = np.cumsum(head[1:] != head[:-1])
-    rank[order] = group
-    while done < length and group[-1] < n - 1:
-        pair = rank * n + np.roll(rank, -done)
-        order = np.argsort(pair)
-        pair = pair[order]
-        group[1:] = np.cumsum(pair[1:] != pair[:-1])
+    for j in range(HEAD_BYTES):
+        key = (key << _U(8)) | np.roll(text, -j)
+    order, head = ordered(key, 8 * HEAD_BYTES)
+    rank, done, group, found = np.empty(n, np.uint64), HEAD_BYTES, np.zeros(n, np.uint64), head
+    while True:
+        group[1:] = np.cumsum(found[1:] != found[:-1], dtype=np.uint64)
+        if done >= length or group[-1] == n - 1:
+            return order, head
         rank[order] = group
+        order, found = ordered((rank << bits) | np.roll(rank, -done), 2 * int(bits))
         done *= 2
-    return order, head
 
 
 def repeats(text: np.ndarray, lengths: tuple[int, ...], owned: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each of the lengths (8 at least, in rising order): of each place of text (circular), whether that many bytes from there on start at another place,
+    """For each of the lengths (HEAD_BYTES at least, in rising order): of each place of text (circular), whether that many bytes from there on start at another place,
     too. owned: for each length, the places that count."""
     n, length = len(text), lengths[-1]
     if n < 2:
         return [np.zeros(n, bool) for _ in lengths]
     order, head = sorted_strings(text, length)
     bwt = text[order - 1]
-    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
+    by_byte = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int32)
     lf[by_byte] = np.arange(n, dtype=np.int32)
-    same = bwt[by_byte[1:]] == bwt[by_byte[:-1]]
-    after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
-    after[by_byte[:-1][same]] = by_byte[1:][same]
-    before[by_byte[1:][same]] = by_byte[:-1][same]
-    # ends whose common prefix is under 8 follow from the first 8 bytes; the search goes on from those with 7
+    # intervals are read run by run of equal bytes, of which near copies have few; for each run the next and the one before of its byte
+    new = np.ones(n, bool)
+    new[1:] = bwt[1:] != bwt[:-1]
+    run_of = (np.cumsum(new) - 1).astype(np.int32)
+    begins = np.flatnonzero(new)
+    stops, byte_of, runs = np.concatenate([begins[1:], [n]]), bwt[begins], len(begins)
+    order_ = np.argsort(byte_of, kind="stable")
+    same = byte_of[order_[1:]] == byte_of[order_[:-1]]
+    next_begin, last_stop = np.full(runs, n), np.full(runs, -1)
+    next_begin[order_[:-1][same]] = begins[order_[1:][same]]
+    last_stop[order_[1:][same]] = stops[order_[:-1][same]]
+    # ends whose common prefix is shorter follow from the first bytes; the search goes on from those one byte shorter
     cut = np.ones(n + 1, bool)
     diff = head[1:] ^ head[:-1]
     cut[1:n] = diff != 0
     cuts = np.flatnonzero(cut)
-    value7 = np.concatenate([[False], (diff[cuts[1:-1] - 1] < _U(256)), [True]])
-    lo, hi = cuts[:-1][value7[1:]].astype(np.int64), cuts[1:][value7[1:]].astype(np.int64)
+    longest = np.concatenate([[False], (diff[cuts[1:-1] - 1] < _U(256)), [True]])
+    lo, hi = cuts[:-1][longest[1:]].astype(np.int64), cuts[1:][longest[1:]].astype(np.int64)
     cuts_at = {}
-    for l in range(7, length - 1):  # noqa: E741
-        if l + 1 in lengths:
-            cuts_at[l + 1] = cut.copy()
+    for l in range(HEAD_BYTES - 1, length - 1):  # noqa: E741
         if not len(lo):
             break
-        size = hi - lo
+        if l + 1 in lengths:
+            cuts_at[l + 1] = cut.copy()
+        size = run_of[hi - 1] - run_of[lo] + 1
         of = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(len(of)) + (lo - np.cumsum(size) + size)[of]
-        last = after[at] >= hi[of]
-        end = lf[at[last]].astype(np.int64) + 1
+        at = np.arange(len(of)) + (run_of[lo] - np.cumsum(size) + size)[of]
+        from_, to = lo[of], hi[of]
+        last = next_begin[at] >= to
+        end = lf[np.minimum(stops[at[last]], to[last]) - 1].astype(np.int64) + 1
         fresh = ~cut[end]
         if not fresh.any():
             break
-        byte = bwt[at]
-        first = before[at] < lo[of]
+        byte = byte_of[at].astype(np.int64)
+        first = last_stop[at] <= from_
         key_first, key_last = of[first] * 256 + byte[first], (of[last] * 256 + byte[last])[fresh]
         rank = np.argsort(key_first)
-        begin = lf[at[first][rank[np.searchsorted(key_first[rank], key_last)]]]
+        begin = lf[np.maximum(begins[at[first]], from_[first])[rank[np.searchsorted(key_first[rank], key_last)]]]
         lo, hi = begin.astype(np.int64), end[fresh]
         cut[hi] = True
     out = []
