@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import string
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is written: a Python worker and its executor then hold few whole texts at a time.
+BATCH_ROWS = 500
+_batches = {"lock": threading.Lock(), "users": 0, "before": None}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of BATCH_ROWS at most within the block; the session's setting comes back when the last such block ends."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _batches["lock"]:
+        if not _batches["users"]:
+            _batches["before"] = spark.conf.get(key)
+            if not 0 < int(_batches["before"]) <= BATCH_ROWS:
+                spark.conf.set(key, BATCH_ROWS)
+        _batches["users"] += 1
+    try:
+        yield
+    finally:
+        with _batches["lock"]:
+            _batches["users"] -= 1
+            if not _batches["users"]:
+                spark.conf.set(key, _batches["before"])
+
+
 class Scratch:
     """The tables that one run of an operator stages: Parquet in the shared folder, read again. That cuts the lineage, survives lost executors, and
     later plans know the size. Tables that nothing reads any more are deleted by release(), the others when the application ends."""
@@ -39,7 +65,8 @@ class Scratch:
 
     def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{shared_folder(self.spark)}/gridwell/{name}-{uuid.uuid4().hex}"
-        df.write.options(**options).parquet(path)
+        with small_batches(self.spark):
+            df.write.options(**options).parquet(path)
         folder, system = self._folder(path)
         system.deleteOnExit(folder)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_filter, split_by_filter
-from .ngram_join import mix, text_slices
+from .common import Scratch, bit_filter, slices, split_by_filter
+from .ngram_join import SLICE_BYTES, mix, text_slices
 
 _U = np.uint64
 _rng = np.random.default_rng(7)
@@ -363,7 +363,7 @@ def suffix_repeats(docs: DataFrame, *, length: int = 400, passage: int | None =
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "n_passages", "passage_bytes"])
 
     schema = f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>, n_passages long, passage_bytes long"
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return scratch.stage(joined.mapInArrow(run, schema), "suffix-results").withColumnRenamed("id", id_col)
 
 
 def suffix_clean(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -377,27 +377,27 @@ def suffix_clean(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id",
     joined = _with_spans(keyed, "x", f"c{names.index(id_col)}", found, scratch).select(*inner.columns, "s")
     k = names.index(text_col)
 
+    def cut(text: pa.Scalar, s: list) -> str:
+        data = text.as_buffer().to_pybytes()
+        a, b = merged(s, len(data))
+        inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+        kept, at = [], 0
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            while inside(i):
+                i += 1
+            while inside(j):
+                j -= 1
+            kept.append(data[at:i])
+            at = max(i, j)
+        return b"".join([*kept, data[at:]]).decode()
+
     def run(batches):
         for batch in batches:
-            out = []
-            for text, s in zip(batch.column(k), batch.column(len(names)).to_pylist(), strict=True):
-                if not s:
-                    out.append(text.as_py())
-                    continue
-                data = text.as_buffer().to_pybytes()
-                a, b = merged(s, len(data))
-                inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
-                kept, at = [], 0
-                for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                    while inside(i):
-                        i += 1
-                    while inside(j):
-                        j -= 1
-                    kept.append(data[at:i])
-                    at = max(i, j)
-                out.append(b"".join([*kept, data[at:]]).decode())
-            cols = [batch.column(i) for i in range(len(names))]
-            cols[k] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(names))])
+            sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(k)]
+            for a, b in slices(sizes, SLICE_BYTES):  # few texts at a time, whatever the batch
+                part = batch.slice(a, b - a)
+                cols = [part.column(i) for i in range(len(names))]
+                cols[k] = pa.array([cut(t, s) if s else t.as_py() for t, s in zip(part.column(k), part.column(len(names)).to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(names))])
 
     return joined.mapInArrow(run, inner.schema).toDF(*names)
