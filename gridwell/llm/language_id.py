@@ -196,6 +196,7 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         first_of = lambda by, what: -F.max(F.struct(by, (-F.col(what)).alias("least")))["least"]
         most = F.aggregate(F.collect_list(F.struct("top", "mass")), F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("mass")), _add_mass)
         fused = fused.groupBy("row").agg(F.first("id").alias("id"), F.first("n").alias("n"), most["mass"].alias("mass"), first_of("top", "language").alias("language"), first_of("text_top", "best").alias("best"))
+    fused = staged(fused, "language-fused")
     names = spark.createDataFrame(list(enumerate(languages)), "number int, name string")
     names = maybe_broadcast(staged(names, "language-numbers"), 8 << 20)
     out = fused.join(names.toDF("language", "name"), "language").join(names.toDF("best", "text_name"), "best")

@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bit_filter, connected_components, maybe_broadcast, slices, split_by_filter
 
-SLICE_BYTES = 1 << 21
+#: Bytes of text that a worker handles at a time: its arrays take some hundred times that.
+SLICE_BYTES = 1 << 19
 #: Entries of a summary of frequent grams, and the least count that a task reports.
 HEAVY, HEAVY_COUNT = 1 << 17, 8
 #: Members of a key's list that are compared by bitmap.

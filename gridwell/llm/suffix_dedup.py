@@ -41,7 +41,7 @@ _BYTE = [_rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1) for _ i
 _BASE = [0xD1342543DE82EF95, 0xAF251AF3B0F025B5]
 GRAM = 96
 #: Bytes of regions in a block, about, and distinct regions of a gram that a block takes.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 500_000
 HOT = 4096
 TASK_BYTES = 6 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text

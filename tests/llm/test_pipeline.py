@@ -78,6 +78,10 @@ def test_rows_without_ids_of_their_own(spark, tmp_path):
     want = [(1, w), (5, y), (9, x), (None, z), (21, near), (20, w + " " + y)]
     assert run("exact_dedup", full) == sorted(want, key=repr)
 
+    # keys of rows that are read from files, several of them
+    full.repartition(3).write.parquet(f"{tmp_path}/rows")
+    assert run("exact_dedup", spark.read.parquet(f"{tmp_path}/rows")) == sorted(want, key=repr)
+
     want = [(1, w), (5, x), (5, y), (20, near), (20, w + " " + y)]
     assert run("ngram_jaccard", full) == sorted(want, key=repr)
 
