@@ -73,6 +73,10 @@ class Scratch:
         self.tables.append((out, path))
         return out
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of jobs that nothing refers to any more: it does so when the driver collects its garbage."""
+        self.spark._jvm.System.gc()
+
     def release(self, *keep: DataFrame) -> None:
         """Deletes its tables but those to keep: what came of the others has been written itself."""
         left = []

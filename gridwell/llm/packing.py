@@ -43,8 +43,8 @@ from .common import Memory, Scratch, maybe_broadcast
 WINDOW = 4096
 REGION_WINDOWS = 128
 LEAST_PIECE = 256
+#: Words that a worker remembers, with half as many parts of words.
 MEMO_WORDS = 800_000
-MEMO_PARTS = 400_000
 #: White space to str.split() but not to the tokenizer; such texts are encoded whole.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -58,7 +58,7 @@ class FileTokenizer:
     """A tokenizers file. If its pre-tokenizer drops white space, words are encoded once and remembered, and so are the parts that the
     file's own pattern splits new words into; each memory is bounded. Texts are encoded whole by any other file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,7 +74,7 @@ class FileTokenizer:
             form["normalizer"] = None
             form["pre_tokenizer"]["pretokenizers"] = [x for x in form["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
             self.bare = Tokenizer.from_str(json.dumps(form))
-        self.words, self.parts = Memory(MEMO_WORDS), Memory(MEMO_PARTS)
+        self.words, self.parts = Memory(memory_words), Memory(memory_words // 2)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -132,18 +132,18 @@ class FileTokenizer:
 
 
 @functools.cache
-def file_tokenizer(path: str) -> FileTokenizer:
-    return FileTokenizer(path)
+def file_tokenizer(path: str, memory_words: int = MEMO_WORDS) -> FileTokenizer:
+    return FileTokenizer(path, memory_words)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str, memory_words: int = MEMO_WORDS) -> DataFrame:
     """(part, row, id, source, local_start, n, width, ids): local_start counts the source's ids before it in the partition."""
     schema = f"id {dict(docs.dtypes)[id_col]}, source string, part int, row long, local_start long, n long, width int, ids binary"
 
     def run(batches):
         from pyspark import TaskContext
 
-        own, part, row = file_tokenizer(path), TaskContext.get().partitionId(), 0
+        own, part, row = file_tokenizer(path, memory_words), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], own.dtype).tobytes(), own.dtype.itemsize
         before: dict = {}
         for batch in batches:
@@ -235,12 +235,14 @@ def _moment(pieces: list[tuple], f: Column) -> Column:
     return F.least(out, F.lit(1.0))
 
 
-def pack(docs: DataFrame, *, path: str, end_id: int, window: int = WINDOW, region_windows: int = REGION_WINDOWS, least: int = LEAST_PIECE, mixture: dict[str | None, float] | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a piece: id, start, length, doc_tokens, sequence_id, offset, sequence_length, width, source, ids_crc32, ids (binary; null without with_ids)."""
+def pack(docs: DataFrame, *, path: str, end_id: int, window: int = WINDOW, region_windows: int = REGION_WINDOWS, least: int = LEAST_PIECE, mixture: dict[str | None, float] | None = None, with_ids: bool = True, memory_words: int = MEMO_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row a piece: id, start, length, doc_tokens, sequence_id, offset, sequence_length, width, source, ids_crc32, ids (binary; null without with_ids).
+
+    memory_words bounds the words that a worker remembers: fewer take less memory and more time."""
     if mixture is not None and (any(not v > 0 for v in mixture.values()) or sum(mixture.values()) > 1 + 1e-9):
         raise ValueError("a mixture has positive shares of at most 1 in all")
     scratch = Scratch(docs.sparkSession)
-    tokens = scratch.stage(tokenize(docs, path, end_id, id_col, text_col, source_col), "pack-tokens", compression="zstd")
+    tokens = scratch.stage(tokenize(docs, path, end_id, id_col, text_col, source_col, memory_words), "pack-tokens", compression="zstd")
     parts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
     line = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     lines = parts.withColumn("line_start", F.coalesce(F.sum("n").over(line), F.lit(0))).withColumn("line", F.sum("n").over(Window.partitionBy("source")))

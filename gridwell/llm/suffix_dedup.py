@@ -259,6 +259,7 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, scratch: Scr
     regions = flat.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "stop", "anchor")).alias("rep"))
     grams = regions.groupBy("gram").agg(F.count("*").alias("distinct"), F.sum("n").alias("all")).where("all > 1")
     multi = own.stage(regions.join(grams, "gram").select("gram", "region", "n", "distinct", "rep.*"), "suffix-regions")
+    own.sweep()
     mixed = multi.where("distinct > 1")
     total = mixed.agg(F.sum(F.col("stop") - F.col("lo") + 1)).first()[0] or 0
     wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("gram", "region", "lo", "hi", "stop", "anchor", (F.col("distinct") > hot).alias("hot"))).alias("wanted"))
@@ -275,6 +276,7 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, scratch: Scr
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], names=["gram", "region", "hot", "strings", "data"])
 
     pieces = own.stage(found.mapInArrow(cut_out, "gram long, region long, hot boolean, strings int, data binary"), "suffix-pieces", compression="zstd")
+    own.sweep()
     tasks = max(1, -(-total // TASK_BYTES))
     names, kinds = ("gram", "region", "level", "a", "b"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
@@ -313,6 +315,7 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, scratch: Scr
     whole = whole.where("w.b > 0").select("gram", "region", "w.level", F.lit(0).alias("a"), "w.b")
     partly = cold.unionAll(warm) if mixed.where(F.col("distinct") > hot).limit(1).count() else cold
     hits = own.stage(whole.unionAll(partly).groupBy("gram", "region").agg(F.collect_list(F.struct("level", "a", "b")).alias("hits")), "suffix-hits")
+    own.sweep()
     reach = lambda h: F.when(h.level == len(lengths) - 1, length).otherwise(lengths[0])
     shifted = F.transform("hits", lambda h: F.struct((F.col("lo") + h.a).alias("a"), (F.col("lo") + h.b - 1 + reach(h)).alias("b"), (h.level == len(lengths) - 1).alias("long")))
     by_row = flat.join(hits, ["gram", "region"]).select("row", shifted.alias("s")).groupBy("row").agg(F.flatten(F.collect_list("s")).alias("s"))
