@@ -27,6 +27,9 @@ from gridwell.llm.suffix_dedup import suffix_clean
 REPEAT_BYTES = 200
 
 
+#: Words that a worker remembers while it packs: fewer than in op2_packing, as executors still hold what the stages before left in their heaps.
+MEMORY_WORDS = 250_000
+
 #: The key that a stage gives each row of its input: ids may be null, repeated or shared by different texts.
 KEY = "_row_key"
 
@@ -76,7 +79,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, path=public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False).drop("ids", "width")
+    return pack(docs, path=public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False, memory_words=MEMORY_WORDS).drop("ids", "width")
 
 
 STAGES = [
