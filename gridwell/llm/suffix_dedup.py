@@ -324,14 +324,15 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, scratch: Scr
     return out
 
 
-def merged(spans_: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(spans_: list) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by the spans."""
     if not spans_:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, [s["a"] for s in spans_], 1)
-    np.add.at(step, [s["b"] for s in spans_], -1)
-    return _runs(np.cumsum(step[:n]) > 0)
+    ends = sorted((s["a"], s["b"]) for s in spans_)
+    a, b = np.array(ends, np.int64).T
+    reach = np.maximum.accumulate(b)
+    first = np.concatenate([[True], a[1:] > reach[:-1]])
+    return a[first], reach[np.concatenate([first[1:], [True]])]
 
 
 def _with_spans(docs: DataFrame, key: str, id_: str, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -357,9 +358,9 @@ def suffix_repeats(docs: DataFrame, *, length: int = 400, passage: int | None =
             rows: list[list] = [[] for _ in range(8)]
             for text, s in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
-                a, b = merged([x for x in s or [] if x["long"]], len(data))
+                a, b = merged([x for x in s or [] if x["long"]])
                 kept = b"".join(data[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)) if len(a) else data
-                told = [(i, j) for i, j in zip(*(x.tolist() for x in merged(s or [], len(data))), strict=True) if len(data[i:j].split()) > words]
+                told = [(i, j) for i, j in zip(*(x.tolist() for x in merged(s or [])), strict=True) if len(data[i:j].split(None, words)) > words]
                 for col, v in zip(rows, (len(data), len(data) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), a.tolist(), b.tolist(), len(told), sum(j - i for i, j in told)), strict=True):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
@@ -382,7 +383,7 @@ def suffix_clean(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id",
 
     def cut(text: pa.Scalar, s: list) -> str:
         data = text.as_buffer().to_pybytes()
-        a, b = merged(s, len(data))
+        a, b = merged(s)
         inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
         kept, at = [], 0
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
