@@ -256,7 +256,10 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, scratch: Scr
     own = Scratch(docs.sparkSession)
     table = own.stage(anchor_table(docs, lengths[0], length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "suffix-anchors", compression="zstd")
     flat = table.select("row", F.explode(F.arrays_zip("lo", "hi", "stop", "anchor", "gram", "region")).alias("a")).select("row", "a.*")
-    regions = flat.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "stop", "anchor")).alias("rep"))
+    # grams on one place only, which are most, stay out of the shuffle of whole rows by a filter of fixed size
+    often = own.stage(flat.groupBy("gram").agg(F.count("*").alias("all")).where("all > 1").select("gram"), "suffix-grams")
+    likely, _ = split_by_filter(flat, "gram", bit_filter(often, "gram", own))
+    regions = likely.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "stop", "anchor")).alias("rep"))
     grams = regions.groupBy("gram").agg(F.count("*").alias("distinct"), F.sum("n").alias("all")).where("all > 1")
     multi = own.stage(regions.join(grams, "gram").select("gram", "region", "n", "distinct", "rep.*"), "suffix-regions")
     own.sweep()
@@ -309,8 +312,8 @@ def spans(docs: DataFrame, length: int, id_col: str, text_col: str, scratch: Scr
                     yield pa.RecordBatch.from_arrays([pa.array([gram] * k, pa.int64()), pa.array([region] * k, pa.int64()), pa.array([level] * k, pa.int32()), pa.array(at.astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["gram", "region", "level", "a", "h1", "h2"])
 
     single = pieces.where("hot").select("gram", "region", "strings", "data").mapInArrow(strings, "gram long, region long, level int, a int, h1 long, h2 long")
-    often = single.groupBy("level", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
-    warm = single.join(often, ["level", "h1", "h2"]).select("gram", "region", "level", "a", (F.col("a") + 1).alias("b"))
+    twice = single.groupBy("level", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
+    warm = single.join(twice, ["level", "h1", "h2"]).select("gram", "region", "level", "a", (F.col("a") + 1).alias("b"))
     whole = multi.where("n > 1").select("gram", "region", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.least(F.col("hi") - F.col("lo") + 1, F.col("stop") - F.col("lo") - n + 1).alias("b")) for i, n in enumerate(lengths)])).alias("w"))
     whole = whole.where("w.b > 0").select("gram", "region", "w.level", F.lit(0).alias("a"), "w.b")
     partly = cold.unionAll(warm) if mixed.where(F.col("distinct") > hot).limit(1).count() else cold
