@@ -26,6 +26,7 @@ empty table gives no pieces. Columns other than id, text and source are not read
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import zlib
@@ -46,11 +47,12 @@ LEAST_PIECE = 256
 #: Words that a worker remembers, with half as many parts of words.
 MEMO_WORDS = 800_000
 #: White space to str.split() but not to the tokenizer; such texts are encoded whole.
-_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_ODD_SPACE = re.compile("[\x1c-\x1f]").search
 
 
 #: Words of these characters alone are lower-cased and split by _PRETOKEN just as the tokenizer does it.
 _PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_LETTERS = re.compile("[a-z]+").fullmatch
 _PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
 
 
@@ -74,6 +76,13 @@ class FileTokenizer:
             form["normalizer"] = None
             form["pre_tokenizer"]["pretokenizers"] = [x for x in form["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
             self.bare = Tokenizer.from_str(json.dumps(form))
+        # where the model marks a word's last token by a suffix: which tokens bear it
+        suffix = (json.loads(text).get("model") or {}).get("end_of_word_suffix")
+        self.last = None
+        if self.plain and suffix:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.words, self.parts = Memory(memory_words), Memory(memory_words // 2)
 
     def _whole(self, text: str) -> bytes:
@@ -84,12 +93,20 @@ class FileTokenizer:
         out, width = [], self.dtype.itemsize
         for k in range(0, len(words), 4000):
             chunk = words[k : k + 4000]
-            coded = self.bare.encode(chunk, is_pretokenized=True, add_special_tokens=False)
-            data = np.array(coded.ids, self.dtype).tobytes()
-            cuts = (np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(chunk) + 1)) * width).tolist()
+            ids, cuts = self._marked(chunk) if self.last is not None else (None, None)
+            if cuts is None:
+                coded = self.bare.encode(chunk, is_pretokenized=True, add_special_tokens=False)
+                ids, cuts = np.array(coded.ids, self.dtype), np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(chunk) + 1))
+            data, cuts = ids.tobytes(), (cuts * width).tolist()
             out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
+    def _marked(self, chunk: list[str]):
+        """(ids, cuts) by the library's faster call, which does not tell words, but their last tokens do; (None, None) if not each part has one."""
+        ids = np.array(self.bare.encode_batch_fast([chunk], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+        return (ids, cuts) if len(cuts) == len(chunk) + 1 and cuts[-1] == len(ids) else (None, None)
+
     def _fold(self, text: str) -> str:
         """Lower case where that is surely what the tokenizer makes of it: it saves remembering both."""
         if not self.plain or "<|" in text:
@@ -103,8 +120,8 @@ class FileTokenizer:
     def _learn(self, wanted: list[str]) -> None:
         split, odd, simple = [], [], []
         if self.plain:  # ASCII letters alone are one part
-            simple = [w for w in wanted if w.isalpha() and w.isascii() and w.islower()]
-            wanted = [w for w in wanted if not (w.isalpha() and w.isascii() and w.islower())]
+            simple = list(filter(_LETTERS, wanted))
+            wanted = list(itertools.filterfalse(_LETTERS, wanted))
         new = set(simple)
         for word in wanted:
             if self.plain and _PLAIN(word) and "<|" not in word:
@@ -115,7 +132,7 @@ class FileTokenizer:
                 odd.append(word)
         self.words.update(zip(odd, map(self._whole, odd), strict=True))
         self.parts.full(len(new))
-        new = self.parts.recall(new.difference(self.parts))
+        new = self.parts.recall(set(itertools.filterfalse(self.parts.__contains__, new)))
         self.parts.update(zip(new, self._encode(new), strict=True))
         parts_ = self.parts
         self.words.update((word, parts_[word]) for word in simple)
@@ -123,12 +140,14 @@ class FileTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words_ = self.words
-        split = [None if not self.spaced or any(c in text for c in _ODD_SPACE) else self._fold(text).split() for text in texts]
-        wanted = set().union(*(w for w in split if w)).difference(words_)
+        split = [None if not self.spaced or _ODD_SPACE(text) else self._fold(text).split() for text in texts]
+        # not by difference(), which passes over all that is remembered
+        wanted = set(itertools.filterfalse(words_.__contains__, set().union(*(w for w in split if w))))
         if words_.full(len(wanted)):
             wanted = set().union(*(w for w in split if w))
         self._learn(words_.recall(wanted))
-        return [self._whole(text) if words is None else b"".join([words_[w] for w in words]) for text, words in zip(texts, split, strict=True)]
+        coded = words_.__getitem__
+        return [self._whole(text) if words is None else b"".join(map(coded, words)) for text, words in zip(texts, split, strict=True)]
 
 
 @functools.cache

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 from gridwell.llm import bpe
-from gridwell.llm.common import connected_components
+from gridwell.llm.common import Memory, connected_components
 from gridwell.llm.embedding_dedup import embedding_groups
 from gridwell.llm.exact_dedup import exact_dedup
 from gridwell.llm.language_id import language_id, page_evidence
@@ -188,6 +188,25 @@ def test_word_tokenizer_is_the_library():
     assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_looks_words_up_without_passing_over_all_it_remembers():
+    """Ids by the library's faster call, and by the one that tells words where a part has no last token, are those of whole texts."""
+
+    class Remembered(Memory):
+        def __iter__(self):
+            raise AssertionError
+
+    own = FileTokenizer(WORDS)
+    own.words, own.parts = Remembered(1000), Remembered(1000)
+    texts = ["Some words, some 12 numbers </w> and it's </W> caf\xe9", "some other words\x1c and 12 more"]
+    whole = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, own.dtype).tobytes() for t in texts]
+    assert own.encode(texts) == own.encode(texts) == whole
+    assert own.last is not None and own._marked(["some", "words"])[1].tolist()[0] == 0
+    own.last = np.zeros_like(own.last)
+    own.words, own.parts = Memory(1000), Memory(1000)
+    assert own._marked(["some"]) == (None, None) and own.encode(texts) == whole
+
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
