@@ -395,9 +395,13 @@ def _clusters(docs: DataFrame, sig: DataFrame, heavy, n: int, num: int, den: int
     ends = own.stage(ends.select("key", "least", "k"), "ngram-shared-keys")
     likely, _ = split_by_filter(keyed, "key", bit_filter(ends, "key", own))
     members = own.stage(likely.join(ends.hint("merge"), "key"), "ngram-members")
-    hot = members.where((F.col("k") > most) & (F.col("h1") != F.col("least"))).select(F.col("h1").alias("src"), F.col("least").alias("dst"))
+    own.release(members)
+    own.sweep()
+    hot = own.stage(members.where((F.col("k") > most) & (F.col("h1") != F.col("least"))).select(F.col("h1").alias("src"), F.col("least").alias("dst")), "ngram-hot")
     lists = members.where(F.col("k") <= most).groupBy("key").agg(F.array_sort(F.collect_set("h1")).alias("list")).select("list").distinct()
     lists = own.stage(lists.withColumn("number", F.monotonically_increasing_id()), "ngram-lists")
+    own.release(hot, lists)
+    own.sweep()
     bits = own.stage(sig.where("n > 0").groupBy("h1").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "ngram-bitmaps")
     flat = lists.select("number", F.size("list").alias("k"), F.explode("list").alias("h1"))
     longest = own.stage(flat.groupBy("h1").agg(F.max(F.struct("k", "number")).alias("m")).select(F.col("m.number").alias("number")).distinct(), "ngram-longest")
@@ -416,20 +420,28 @@ def _clusters(docs: DataFrame, sig: DataFrame, heavy, n: int, num: int, den: int
 
     def compared(members: DataFrame, name: str) -> DataFrame:
         """(src, dst) of (number, h1, known): possible links within the lists."""
-        listed = own.stage(members.join(bits, "h1"), name, compression="zstd")
+        inner = Scratch(members.sparkSession)
+        listed = inner.stage(members.join(bits, "h1"), name, compression="zstd")
+        inner.sweep()
         tasks = max(1, -(-(listed.agg(F.sum(F.octet_length("parity") + 64)).first()[0] or 0) // TASK_BYTES))
         dealt = listed.withColumn("task", F.pmod(F.xxhash64("number"), F.lit(tasks)))
-        return own.stage(dealt.groupBy("task").applyInArrow(compare, "src long, dst long"), f"{name}-links")
+        links = own.stage(dealt.groupBy("task").applyInArrow(compare, "src long, dst long"), f"{name}-links")
+        inner.release()
+        inner.sweep()
+        return links
 
-    near = hot.unionAll(compared(flat.join(longest, "number", "left_semi").select("number", "h1", F.col("h1").alias("known")), "ngram-first"))
+    near = hot.unionAll(first := compared(flat.join(longest, "number", "left_semi").select("number", "h1", F.col("h1").alias("known")), "ngram-first"))
     found = connected_components(near, scratch)
     others = flat.join(longest, "number", "left_anti").join(found, F.col("h1") == F.col("node"), "left").select("number", "h1", F.coalesce("component", "h1").alias("known"))
     others = own.stage(others, "ngram-others")
     apart = others.groupBy("number").agg(F.min("known").alias("least"), F.max("known").alias("greatest")).where("least <> greatest").select("number")
     apart = own.stage(others.join(apart, "number", "left_semi"), "ngram-apart")
+    own.release(hot, bits, first, apart)
+    own.sweep()
     if not apart.isEmpty():
         found = connected_components(near.unionAll(compared(apart, "ngram-second")), scratch)
     own.release()
+    own.sweep()
     return found
 
 
@@ -497,10 +509,12 @@ def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, len(begins) - 1), pa.array([grams[i:j].tobytes() for i, j in zip(begins, begins[1:])], pa.binary())], names=["node", "grams"])
 
     grams = scratch.stage(texts.mapInArrow(sets, "node long, grams binary"), "ngram-sets", compression="zstd")
+    scratch.sweep()
     member = placed.select("node", "cluster", "blocks", "block", "leads").join(grams, "node")
     everywhere = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     units = member.withColumn("block", F.explode(everywhere)).select(F.xxhash64("cluster", "block").alias("unit"), "node", F.col("node").alias("known"), "grams")
     links = scratch.stage(_searched(units, num, den, tasks), "ngram-links")
+    scratch.sweep()
     parts = connected_components(links, scratch)
 
     # of clusters of several units, those outside the largest component are searched for in the other units

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 from gridwell.llm import bpe
-from gridwell.llm.common import Memory, connected_components
+from gridwell.llm.common import Memory, Scratch, connected_components
 from gridwell.llm.embedding_dedup import embedding_groups
 from gridwell.llm.exact_dedup import exact_dedup
 from gridwell.llm.language_id import language_id, page_evidence
@@ -798,3 +798,16 @@ def test_quality_against_brute_force(spark):
     have = sorted((str(g.doc_id), g.score, g.text_score, g.meta_score) for g in got)
     assert [h[0] for h in have] == [w[0] for w in want]
     assert np.abs(np.array([h[1:] for h in have]) - np.array([w[1:] for w in want])).max() < 1e-6
+
+
+def test_tables_of_the_join_go_when_nothing_reads_them_any_more(spark, monkeypatch):
+    held, stage = {}, Scratch.stage
+
+    def watched(self, df, name, **options):
+        held[name] = [path for _, path in self.tables]
+        return stage(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "stage", watched)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 3, 60))) for i in range(9)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_jaccard_groups(docs, n=3, num=90, den=100).collect()} == {0}
+    assert not [p for p in held["ngram-others"] if "ngram-keys" in p or "ngram-members" in p or "ngram-first-" in p and "links" not in p]
