@@ -8,6 +8,8 @@ import threading
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,31 +31,41 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Rows of an Arrow batch while a table is written: a Python worker and its executor then hold few whole texts at a time.
 BATCH_ROWS = 500
-_batches = {"lock": threading.Lock(), "users": 0, "before": None}
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: With this, Spark deletes the shuffle files of a write as it ends, and not when the driver happens to collect its garbage. They are of no more use then: the
+#: table is read from its files.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writes: dict = {"lock": threading.Lock(), "users": 0, "before": {}}
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Batches of BATCH_ROWS at most within the block; the session's setting comes back when the last such block ends."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    with _batches["lock"]:
-        if not _batches["users"]:
-            _batches["before"] = spark.conf.get(key)
-            if not 0 < int(_batches["before"]) <= BATCH_ROWS:
-                spark.conf.set(key, BATCH_ROWS)
-        _batches["users"] += 1
+def write_settings(spark: SparkSession):
+    """Batches of BATCH_ROWS at most, and shuffle files that go with their write, within the block; the session's settings come back when the last such block
+    ends."""
+    with _writes["lock"]:
+        if not _writes["users"]:
+            _writes["before"] = {key: spark.conf.get(key, None) for key in (BATCH_KEY, CLEANUP_KEY)}
+            if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+                spark.conf.set(BATCH_KEY, BATCH_ROWS)
+            spark.conf.set(CLEANUP_KEY, "true")
+        _writes["users"] += 1
     try:
         yield
     finally:
-        with _batches["lock"]:
-            _batches["users"] -= 1
-            if not _batches["users"]:
-                spark.conf.set(key, _batches["before"])
+        with _writes["lock"]:
+            _writes["users"] -= 1
+            if not _writes["users"]:
+                for key, value in _writes["before"].items():
+                    if value is None:
+                        spark.conf.unset(key)
+                    else:
+                        spark.conf.set(key, value)
 
 
 class Scratch:
     """The tables that one run of an operator stages: Parquet in the shared folder, read again. That cuts the lineage, survives lost executors, and
-    later plans know the size. Tables that nothing reads any more are deleted by release(), the others when the application ends."""
+    later plans know the size. The shuffle files of a write go as it ends; tables that nothing reads any more are deleted by release(), the others when the
+    application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -65,7 +77,7 @@ class Scratch:
 
     def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{shared_folder(self.spark)}/gridwell/{name}-{uuid.uuid4().hex}"
-        with small_batches(self.spark):
+        with write_settings(self.spark):
             df.write.options(**options).parquet(path)
         folder, system = self._folder(path)
         system.deleteOnExit(folder)
@@ -124,23 +136,59 @@ def py_ascii_lower(text: str, _table=str.maketrans(UPPER, LOWER)) -> str:
     return text.lower() if text.isascii() else text.translate(_table)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch | None = None, *, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+#: Edges that a task of connected_components contracts at a time.
+EDGES = 1 << 20
+
+
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least): each node of the undirected edges that reaches a smaller one, and the smallest that it reaches. In a round every root next to a smaller
+    one joins it, so at least half of a component's roots go."""
+    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = back[: len(u)], back[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        apart = root[a] != root[b]
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while not np.array_equal(further := root[root], root):
+            root = further
+    joined = root != np.arange(len(nodes))
+    return nodes[joined], nodes[root[joined]]
+
+
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, *, src: str = "src", dst: str = "dst", rounds: int = 60, most: int = EDGES) -> DataFrame:
     """(node, component): for each node of the undirected edges the smallest node that it reaches.
 
-    Alternates the two star operations of Kiveris et al., "Connected Components in MapReduce and Beyond"
-    (SoCC 2014), whose edge count never grows: every node links its larger neighbours (large star), then its
-    smaller ones (small star), to its smallest neighbour. A node's list is never gathered; only its minimum
-    is, which Spark combines before the shuffle, and a hot node's rows join as an ordinary skewed join.
+    Tasks contract up to most edges at a time to stars, without a shuffle. If one task had all of them, that is the result. Else the two star operations of
+    Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014), whose edge count never grows, connect what tasks have found: every node links
+    its larger neighbours (large star), then its smaller ones (small star), to its smallest neighbour; then tasks contract again. A node's list is never
+    gathered; only its minimum is, which Spark combines before the shuffle, and a hot node's rows join as an ordinary skewed join.
     Each round is written to the shared folder, the last one as a table of scratch. Edges whose ends are equal or null are left out.
     """
     spark = edges.sparkSession
     own = scratch or Scratch(spark)
     inner = Scratch(spark)
-    clean = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
-    pairs = inner.stage(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    if pairs.isEmpty():
-        inner.release()
-        return spark.createDataFrame([], "node long, component long")
+    pairs = inner.stage(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v"), "cc")
+
+    def contract(batches):
+        held, waiting = 0, []
+
+        def done():
+            u, v = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(u, v)], names=["u", "v"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                if waiting and held + part.num_rows > most:
+                    yield done()
+                    held, waiting = 0, []
+                waiting.append([part.column(k).to_numpy() for k in (0, 1)])
+                held += part.num_rows
+        if waiting:
+            yield done()
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """e has (u, v) with u > v. Large: each node's larger neighbours go to its minimum; small: its smaller ones and itself."""
@@ -154,12 +202,20 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, *, sr
         return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     for _ in range(rounds):
-        pairs = inner.stage(star(star(pairs, True), False), "cc")
+        tasks = -(-pairs.count() // most)
+        if not tasks:
+            inner.release()
+            return spark.createDataFrame([], "node long, component long")
+        pairs = inner.stage(pairs.coalesce(tasks).mapInArrow(contract, "u long, v long"), "cc")
         inner.release(pairs)
+        if tasks == 1:
+            break
         # a star forest, which is the end: no leaf has two centres, and no node is both a leaf and a centre
         ends = pairs.select("u", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionAll(pairs.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where(F.col("leaf") + F.col("centre") > 1).isEmpty():
             break
+        pairs = inner.stage(star(star(pairs, True), False), "cc")
+        inner.release(pairs)
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

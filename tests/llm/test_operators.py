@@ -5,13 +5,16 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridwell.llm import bpe
 from gridwell.llm.common import Memory, Scratch, connected_components
@@ -811,3 +814,29 @@ def test_tables_of_the_join_go_when_nothing_reads_them_any_more(spark, monkeypat
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 3, 60))) for i in range(9)], "doc_id long, text string")
     assert {r.component_id for r in ngram_jaccard_groups(docs, n=3, num=90, den=100).collect()} == {0}
     assert not [p for p in held["ngram-others"] if "ngram-keys" in p or "ngram-members" in p or "ngram-first-" in p and "links" not in p]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_components_of_contracted_edges(spark, monkeypatch, most):
+    """With few edges one task does it all and nothing is shuffled; else tasks have a few edges each."""
+    plans, stage = [], Scratch.stage
+    monkeypatch.setattr(Scratch, "stage", lambda self, df, name, **o: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(self, df, name, **o))
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] * 2 + [(2000 - i, 1999 - i) for i in range(90)] + [(9, None), (-3, -3), (-(1 << 62), 5)]
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(6), most=most).collect()
+    kept = [e for e in edges if None not in e and e[0] != e[1]]
+    assert {r.node: r.component for r in got} == brute_components({x for e in kept for x in e}, kept) and len(got) == len({r.node for r in got})
+    assert ("Exchange hash" in "".join(plans[1:-1])) == (most == 40)
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    """And the session's settings come back."""
+    keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before, scratch = [spark.conf.get(k) for k in keys], Scratch(spark)
+    files = lambda: {p for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+    held = files()
+    table = scratch.stage(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")), "counts")
+    end = time.time() + 20
+    while (left := files() - held) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and table.count() == 1000 and [spark.conf.get(k) for k in keys] == before
