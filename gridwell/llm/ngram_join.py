@@ -7,11 +7,11 @@ later steps see each class once, however many copies it has.
    are known as heavy. Sets are ordered by (heavy count, hash), so common passages and lines come last.
 2. Candidates. Two sets of n and m elements with Jaccard >= t share one of their first n - ceil(tn) + 1 and m - ceil(tm) + 1 elements in any common
    order. Each class emits these as keys. Keys of one class are of no use; each other key has a list of classes.
-3. Clusters. Each class has a bitmap of its elements' parity (2 to 4 bits an element; the bits in which two bitmaps differ are never more than the
-   elements in which the sets differ). Within a list, classes link if sizes and bitmaps allow the similarity. Lists over LIST classes are not gathered:
-   each member links the list's smallest one. Both say yes to every true link, so groups of near copies lie within clusters, the links' components;
-   and as bitmaps say yes to little else, most clusters are such groups. Each class's longest list is compared first; of the other lists, which say much the
-   same, only those go on whose members are not connected by then.
+3. Clusters. Each class has a bitmap of its elements' parity (0.4 to 0.8 bits an element for Jaccard 0.9, 0.9 to 1.8 for 0.8; the bits in which two
+   bitmaps differ are never more than the elements in which the sets differ). Within a list, classes link if sizes and bitmaps allow the similarity. Lists over
+   LIST classes are not gathered: each member links the list's smallest one. Both say yes to every true link, so groups of near copies lie within clusters,
+   the links' components; and as bitmaps say yes to little else, most clusters are such groups. Each class's longest list is compared first; of the other
+   lists, which say much the same, only those go on whose members are not connected by then.
 4. Search. Clusters are dealt to units of about BLOCK_BYTES of sets. In each unit an inverted index is searched with every class, in order of size, for
    smaller classes that it is not connected with yet. By the T-occurrence bound the longest lists are set aside; the short ones are merged on a heap that
    skips, and what occurs often enough there is binary-probed in the long ones (DivideSkip). Links are spanning edges; no pairs are emitted.
@@ -104,11 +104,17 @@ def gram_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, n
     return grams[keep], np.searchsorted(doc[keep], np.arange(docs + 1))
 
 
-def parities(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Of each set a bitmap: bit k tells whether an odd number of its elements fall on k. Its bits are a power of two, 64 at least and 2 an element."""
+def bits_needed(num: int, den: int) -> float:
+    """Bits an element, 2 at most, with which the bitmaps of unrelated sets, which differ in half of their bits, differ in twice as many as those of sets with
+    Jaccard num / den may."""
+    return min(2, 8 * (den - num) / (den + num))
+
+
+def parities(grams: np.ndarray, at: np.ndarray, per: float = 2) -> list[bytes]:
+    """Of each set a bitmap: bit k tells whether an odd number of its elements fall on k. Its bits are a power of two, 64 at least and per an element."""
     spread, out = mix(grams, 2), []
     for a, b in zip(at.tolist(), at.tolist()[1:]):
-        bits = max(64, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 64
+        bits = max(64, 1 << max(0, math.ceil(per * (b - a)) - 1).bit_length())
         odd = np.bincount((spread[a:b] & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return out
@@ -246,8 +252,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), text.alias("text"))
 
 
-def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, x, n, h1, h2, parity) of each row: hash of the text, set size, 128-bit set hash and bitmap. Each task's last rows have the frequent grams instead (gram and count)."""
+def signatures(docs: DataFrame, n: int, per: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, x, n, h1, h2, parity) of each row: hash of the text, set size, 128-bit set hash and bitmap (per bits an element). Each task's last rows have the frequent grams instead (gram and count)."""
     schema = f"id {dict(docs.dtypes)[id_col]}, x long, n long, h1 long, h2 long, parity binary, gram long, times long"
     names = ["id", "x", "n", "h1", "h2", "parity", "gram", "times"]
 
@@ -259,7 +265,7 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                 frequent.add(grams)
                 size = np.diff(at)
                 with np.errstate(over="ignore"):
-                    bits = parities(grams, at)
+                    bits = parities(grams, at, per)
                 none = pa.nulls(len(size), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, len(size)) for k in (0, 1)), pa.array(size), _signed(h1), _signed(h2), pa.array(bits, pa.binary()), none, none], names=names)
         values, counts = frequent.often(HEAVY_COUNT)
@@ -486,7 +492,7 @@ def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     scratch = Scratch(spark)
     id_type = dict(docs.dtypes)[id_col]
-    first = scratch.stage(signatures(docs, n, id_col, text_col), "ngram-signatures", compression="zstd")
+    first = scratch.stage(signatures(docs, n, bits_needed(num, den), id_col, text_col), "ngram-signatures", compression="zstd")
     sig = first.where("gram is null")
     heavy = heavy_grams(first.where("gram is not null").select("gram", "times"))
     clusters = _clusters(docs, sig, heavy, n, num, den, text_col, scratch, list_members)

@@ -23,7 +23,7 @@ from gridwell.llm.exact_dedup import exact_dedup
 from gridwell.llm.language_id import language_id, page_evidence
 from gridwell.llm.license_scan import license_scan
 from gridwell.llm.lm_score import BOS, C, OWN, Model, lm_scores, log_normaliser, suffix_class
-from gridwell.llm.ngram_join import Frequent, gram_sets, ngram_jaccard_groups, occurring, parities, possible_links, prefixes, similar_links
+from gridwell.llm.ngram_join import Frequent, bits_needed, gram_sets, ngram_jaccard_groups, occurring, parities, possible_links, prefixes, signatures, similar_links
 from gridwell.llm.packing import FileTokenizer, fill, pack
 from gridwell.llm.quality import quality_scores
 from gridwell.llm.queries import language_of_pages
@@ -840,3 +840,18 @@ def test_shuffle_files_go_with_their_write(spark):
     while (left := files() - held) and time.time() < end:
         time.sleep(0.2)
     assert not left and table.count() == 1000 and [spark.conf.get(k) for k in keys] == before
+
+
+def test_bitmaps_are_as_short_as_the_similarity_allows(spark):
+    rng = np.random.default_rng(6)
+    for num, bits in ((90, 512), (80, 1024), (50, 4096)):
+        grams = [np.unique(rng.integers(0, 1 << 63, 1100, dtype=np.uint64)) for _ in range(30)]
+        grams += [np.sort(rng.choice(g, -(-num * len(g) // 100), replace=False)) for g in grams]
+        at = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+        with np.errstate(over="ignore"):
+            short = parities(np.concatenate(grams), at, bits_needed(num, 100))
+        assert max(8 * len(b) for b in short) == bits
+        assert sorted((min(e), max(e)) for e in possible_links(np.diff(at), short, num, 100)) == [(i, i + 30) for i in range(30)]
+    texts = [(k, " ".join(f"w{k}x{j}" for j in range(1102))) for k in range(2)]
+    rows = signatures(spark.createDataFrame(texts, "doc_id long, text string"), 3, bits_needed(90, 100), "doc_id", "text").where("n is not null").collect()
+    assert [(r.n, len(r.parity)) for r in rows] == [(1100, 64)] * 2
