@@ -4,7 +4,9 @@ A document's set holds 64-bit hashes of its distinct word n-grams. Documents wit
 later steps see each class once, however many copies it has.
 
 1. Order. Tasks count grams by Misra-Gries summaries, which Spark sums: grams with a share of about 1 / HEAVY of all or more, at most HEAVY of them,
-   are known as heavy. Sets are ordered by (heavy count, hash), so common passages and lines come last.
+   are known as heavy. The others fall on SLOTS counters, which are summed, too: a counter's level tells common grams from rare ones by far smaller shares,
+   as what falls on it by chance grows with the input, but differs between counters by its square root only. Sets are ordered by (heavy count, level,
+   hash), so common passages, lines and phrases come last, and few keys have long lists, whatever the size of the input.
 2. Candidates. Two sets of n and m elements with Jaccard >= t share one of their first n - ceil(tn) + 1 and m - ceil(tm) + 1 elements in any common
    order. Each class emits these as keys. Keys of one class are of no use; each other key has a list of classes.
 3. Clusters. Each class has a bitmap of its elements' parity (0.4 to 0.8 bits an element for Jaccard 0.9, 0.9 to 1.8 for 0.8; the bits in which two
@@ -47,6 +49,8 @@ from .common import Scratch, bit_filter, connected_components, maybe_broadcast,
 SLICE_BYTES = 1 << 19
 #: Entries of a summary of frequent grams, and the least count that a task reports.
 HEAVY, HEAVY_COUNT = 1 << 17, 8
+#: Counters of grams, of which a row of the table of signatures holds CHUNK, and levels that a doubling of a count makes.
+SLOTS, CHUNK, LEVELS = 1 << 20, 1 << 12, 64
 #: Members of a key's list that are compared by bitmap.
 LIST = 1000
 #: Bytes of sets in a unit, and of sets or bitmaps that a task takes, about.
@@ -198,18 +202,42 @@ class Frequent:
         return self.values[keep], self.counts[keep]
 
 
-def prefixes(grams: np.ndarray, at: np.ndarray, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, document): the first n - ceil(tn) + 1 elements of each set, heavy ones last, the more frequent the later."""
+class Counters:
+    """Counts of values by counter: SLOTS of them, whatever is counted."""
+
+    def __init__(self):
+        self.counts, self.waiting, self.held = np.zeros(SLOTS, np.int32), [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(values & _U(SLOTS - 1))
+        self.held += len(values)
+        if self.held >= SLOTS:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.waiting).astype(np.int64), minlength=SLOTS).astype(np.int32)
+            self.waiting, self.held = [], 0
+
+    def chunks(self):
+        """(number, bytes) of runs of CHUNK counts that are not all 0."""
+        self.settle()
+        for k in range(0, SLOTS, CHUNK):
+            if (part := self.counts[k : k + CHUNK]).any():
+                yield k // CHUNK, part.tobytes()
+
+
+def prefixes(grams: np.ndarray, at: np.ndarray, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray], levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, document): the first n - ceil(tn) + 1 elements of each set, heavy ones last, the more frequent the later; the others by their counters' levels."""
     size = np.diff(at)
     doc = np.repeat(np.arange(len(size)), size)
-    if len(heavy[0]) and len(grams):
-        slot = np.minimum(np.searchsorted(heavy[0], grams), len(heavy[0]) - 1)
-        weight = np.where(heavy[0][slot] == grams, heavy[1][slot], 0)
-        some = np.bincount(doc, weight > 0, len(size)) > 0
-        grams = grams.copy()
-        for i in np.flatnonzero(some).tolist():
-            a, b = at[i], at[i + 1]
-            grams[a:b] = grams[a:b][np.argsort(weight[a:b], kind="stable")]
+    if len(grams) and (len(heavy[0]) or levels is not None):
+        weight = np.zeros(len(grams), np.int64) if levels is None else levels[grams & _U(SLOTS - 1)].astype(np.int64)
+        if len(heavy[0]):
+            slot = np.minimum(np.searchsorted(heavy[0], grams), len(heavy[0]) - 1)
+            weight = np.where(heavy[0][slot] == grams, heavy[1][slot] + (1 << 16), weight)
+        # grams are in order within a document, so that equal weights leave them ordered by hash
+        grams = grams[np.lexsort((weight, doc))]
     length = np.where(size > 0, size - -(-num * size // den) + 1, 0)
     use = np.arange(len(grams)) < (at[:-1] + length)[doc]
     return grams[use], doc[use]
@@ -253,25 +281,30 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, n: int, per: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, x, n, h1, h2, parity) of each row: hash of the text, set size, 128-bit set hash and bitmap (per bits an element). Each task's last rows have the frequent grams instead (gram and count)."""
-    schema = f"id {dict(docs.dtypes)[id_col]}, x long, n long, h1 long, h2 long, parity binary, gram long, times long"
-    names = ["id", "x", "n", "h1", "h2", "parity", "gram", "times"]
+    """(id, x, n, h1, h2, parity) of each row: hash of the text, set size, 128-bit set hash and bitmap (per bits an element). Each task's last rows have the frequent grams instead (gram and count), then
+    the counters (chunk and, as parity, its counts)."""
+    schema = f"id {dict(docs.dtypes)[id_col]}, x long, n long, h1 long, h2 long, parity binary, gram long, times long, chunk int"
+    names = ["id", "x", "n", "h1", "h2", "parity", "gram", "times", "chunk"]
 
     def run(batches):
-        frequent, id_type = Frequent(), None
+        frequent, counters, id_type = Frequent(), Counters(), None
         for batch in batches:
             id_type = batch.column(0).type
             for row, grams, at, h1, h2 in _sets_of(batch.column(2), n):
                 frequent.add(grams)
+                counters.add(grams)
                 size = np.diff(at)
                 with np.errstate(over="ignore"):
                     bits = parities(grams, at, per)
                 none = pa.nulls(len(size), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, len(size)) for k in (0, 1)), pa.array(size), _signed(h1), _signed(h2), pa.array(bits, pa.binary()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, len(size)) for k in (0, 1)), pa.array(size), _signed(h1), _signed(h2), pa.array(bits, pa.binary()), none, none, none.cast(pa.int32())], names=names)
         values, counts = frequent.often(HEAVY_COUNT)
         if len(values):
             none = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), id_type), none, none, none, none, pa.nulls(len(values), pa.binary()), _signed(values), pa.array(counts)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), id_type), none, none, none, none, pa.nulls(len(values), pa.binary()), _signed(values), pa.array(counts), none.cast(pa.int32())], names=names)
+        none = pa.nulls(1, pa.int64())
+        for number, data in counters.chunks():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), none, none, none, none, pa.array([data], pa.binary()), none, none, pa.array([number], pa.int32())], names=names)
 
     return _texts(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -294,6 +327,28 @@ def heavy_grams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], found.column("times").to_numpy()[order]
 
 
+def gram_levels(chunks: DataFrame, scratch: Scratch) -> np.ndarray:
+    """The levels of the sums of (chunk, counts): a number for each counter, the larger the more falls on it. Each task sums what it reads, then each chunk is summed."""
+
+    def read(batches):
+        sums: dict = {}
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[number] = sums.get(number, 0) + np.frombuffer(data, np.int32).astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(data, np.int64) for data in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([(np.log2(total + 1) * LEVELS).astype(np.uint16).tobytes()], pa.binary())})
+
+    levels = np.zeros(SLOTS, np.uint16)
+    found = scratch.stage(chunks.mapInArrow(read, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary"), "ngram-levels").toArrow()
+    for number, data in zip(found.column("chunk").to_pylist(), found.column("level").to_pylist()):
+        levels[number * CHUNK : (number + 1) * CHUNK] = np.frombuffer(data, np.uint16)
+    return levels
+
+
 def occurring(lists: list[list[int]], least: int):
     """(member, times) of members of at least least of the sorted lists, in order, by merging on a heap that skips."""
     heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
@@ -377,16 +432,16 @@ def similar_links(sets: list[np.ndarray], num: int, den: int, known: list[int] |
     return edges
 
 
-def _clusters(docs: DataFrame, sig: DataFrame, heavy, n: int, num: int, den: int, text_col: str, scratch: Scratch, most: int) -> DataFrame:
+def _clusters(docs: DataFrame, sig: DataFrame, order, n: int, num: int, den: int, text_col: str, scratch: Scratch, most: int) -> DataFrame:
     """(node, component) of classes, by h1: every similar pair of classes lies within one component."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(heavy)
+    shared = spark.sparkContext.broadcast(order)
 
     def keys(batches):
         known: set = set()
         for batch in batches:
             for _, grams, at, h1, _ in _sets_of(batch.column(0), n):
-                key, doc = prefixes(grams, at, num, den, shared.value)
+                key, doc = prefixes(grams, at, num, den, *shared.value)
                 new = np.zeros(len(h1), bool)
                 for i, h in enumerate(h1.tolist()):
                     if h not in known:  # a class emits its keys once a task
@@ -493,9 +548,9 @@ def ngram_jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int
     scratch = Scratch(spark)
     id_type = dict(docs.dtypes)[id_col]
     first = scratch.stage(signatures(docs, n, bits_needed(num, den), id_col, text_col), "ngram-signatures", compression="zstd")
-    sig = first.where("gram is null")
-    heavy = heavy_grams(first.where("gram is not null").select("gram", "times"))
-    clusters = _clusters(docs, sig, heavy, n, num, den, text_col, scratch, list_members)
+    sig = first.where("n is not null")
+    order = heavy_grams(first.where("gram is not null").select("gram", "times")), gram_levels(first.where("chunk is not null").select("chunk", F.col("parity").alias("counts")), scratch)
+    clusters = _clusters(docs, sig, order, n, num, den, text_col, scratch, list_members)
     classes = scratch.stage(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min(F.struct("id", "x")).alias("at"), F.first("n").alias("n")), "ngram-classes")
     cands = scratch.stage(classes.join(clusters, F.col("h1") == F.col("node")).select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "rep", "at", "n", F.col("component").alias("cluster")), "ngram-candidates")
     sizes = cands.groupBy("cluster").agg(F.count("*").alias("members"), F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("blocks"), F.min("node").alias("leader")).where("members > 1")

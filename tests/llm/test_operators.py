@@ -347,6 +347,24 @@ def test_ngram_groups_of_one_large_cluster(spark):
     assert len({c for _, _, c in want}) < 80
 
 
+def test_passages_too_rare_to_be_heavy_link_nothing(spark, monkeypatch):
+    """A passage in many texts, of which each task sees too few to report its grams: its keys' lists must not make one cluster of all that have it."""
+    rows = [(k, " ".join([f"w{k}_{i}" for i in range(120)] + [f"p{i}" for i in range(60)])) for k in range(240)]
+    rows += [(1000 + k, f"{rows[k][1]} x") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    sizes, stage = {}, Scratch.stage
+
+    def counted(self, df, name, **options):
+        out = stage(self, df, name, **options)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "stage", counted)
+    got = {g.doc_id: g.component_id for g in ngram_jaccard_groups(docs, list_members=50).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
+    assert sizes["ngram-hot"] == 0 and sizes["ngram-candidates"] == 10
+
+
 def test_structured_words_do_not_collide(spark):
     """Thue-Morse words, which polynomial hashes modulo a power of two cannot tell apart."""
     bits = "".join("ab"[i.bit_count() % 2] for i in range(2048))
