@@ -23,7 +23,7 @@ from gridwell.llm.exact_dedup import exact_dedup
 from gridwell.llm.language_id import language_id, page_evidence
 from gridwell.llm.license_scan import license_scan
 from gridwell.llm.lm_score import BOS, C, OWN, Model, lm_scores, log_normaliser, suffix_class
-from gridwell.llm.ngram_join import Frequent, bits_needed, gram_sets, ngram_jaccard_groups, occurring, parities, possible_links, prefixes, signatures, similar_links
+from gridwell.llm.ngram_join import CHUNK, SLOTS, Counters, Frequent, bits_needed, gram_sets, ngram_jaccard_groups, occurring, parities, possible_links, prefixes, signatures, similar_links
 from gridwell.llm.packing import FileTokenizer, fill, pack
 from gridwell.llm.quality import quality_scores
 from gridwell.llm.queries import language_of_pages
@@ -391,6 +391,28 @@ def test_similar_sets_share_a_key_and_a_list():
                     assert possible_links(np.diff(at), parities(grams, at), num, 100) == [(0, 1)]
 
 
+def test_counters_put_common_grams_last_and_lose_no_key():
+    """In sets of op7's similarity, whatever the levels; a gram of many sets is no key of sets that have rarer ones."""
+    rng = np.random.default_rng(5)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for size in (9, 10, 40, 300):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.sort(rng.choice(a, len(a) - size // 10, replace=False))
+            keys, of = prefixes(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 90, 100, none, rng.integers(0, 4, SLOTS).astype(np.uint16))
+            assert set(keys[of == 0]) & set(keys[of == 1])
+    common = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 30, dtype=np.uint64)])) for _ in range(200)]
+    counters = Counters()
+    for x in sets:
+        counters.add(x)
+    got = dict(counters.chunks())
+    counts = np.concatenate([np.frombuffer(got.get(k, bytes(4 * CHUNK)), np.int32) for k in range(SLOTS // CHUNK)])
+    assert counts.sum() == sum(map(len, sets)) and (counts[common & np.uint64(SLOTS - 1)] >= 200).all()
+    keys, _ = prefixes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), 90, 100, none, counts.astype(np.uint16))
+    assert not set(keys) & set(common)
+
+
 def test_possible_links_lose_none():
     rnd = random.Random(11)
     for num in (50, 80):
