@@ -206,22 +206,13 @@ class Counters:
     """Counts of values by counter: SLOTS of them, whatever is counted."""
 
     def __init__(self):
-        self.counts, self.waiting, self.held = np.zeros(SLOTS, np.int32), [], 0
+        self.counts = np.zeros(SLOTS, np.int32)
 
     def add(self, values: np.ndarray) -> None:
-        self.waiting.append(values & _U(SLOTS - 1))
-        self.held += len(values)
-        if self.held >= SLOTS:
-            self.settle()
-
-    def settle(self) -> None:
-        if self.held:
-            self.counts += np.bincount(np.concatenate(self.waiting).astype(np.int64), minlength=SLOTS).astype(np.int32)
-            self.waiting, self.held = [], 0
+        np.add.at(self.counts, (values & _U(SLOTS - 1)).view(np.int64), np.int32(1))
 
     def chunks(self):
         """(number, bytes) of runs of CHUNK counts that are not all 0."""
-        self.settle()
         for k in range(0, SLOTS, CHUNK):
             if (part := self.counts[k : k + CHUNK]).any():
                 yield k // CHUNK, part.tobytes()
